@@ -37,7 +37,7 @@ def page_hits(
 
     def context(start, length):
         part = F.slice(F.col("_lines"), start, length)
-        return F.transform(part, tx.truncate)
+        return F.transform(part, lambda l: tx.truncate(l))
 
     def hit(i):
         fields = [

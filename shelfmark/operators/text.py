@@ -59,7 +59,8 @@ def read_plan(entries: DataFrame, requests: DataFrame) -> DataFrame:
         .withColumn("_stop", F.least(wanted, start + (limits.READ_PAGES - 1)))
         .withColumn(
             "truncated",
-            (F.col("_stop") < pages) | F.coalesce(F.col("end_page") > pages, F.lit(False)),
+            F.coalesce(F.col("_stop") < pages, F.lit(False))
+            | F.coalesce(F.col("end_page") > pages, F.lit(False)),
         )
         .withColumn("range_end", F.greatest(F.col("_stop"), F.col("range_start")))
         .drop("_status")
@@ -70,23 +71,22 @@ def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     """Page ranges of many documents at once. A request without pages to show still
     answers with one row whose ``page`` is null."""
     plan = read_plan(entries, requests)
-    text = pages.select(*DOC, "page", "text")
-    in_range = (
-        (plan.tenant_id == text.tenant_id)
-        & (plan.namespace == text.namespace)
-        & (plan.entry_id == text.entry_id)
-        & text.page.between(plan.range_start, plan["_stop"])
-        & plan.error.isNull()
+    # Own names on the page side: callers may derive requests from the same tables.
+    text = pages.select(
+        *(F.col(c).alias(f"_{c}") for c in DOC), F.col("page").alias("page"), F.col("text").alias("text")
     )
+    in_range = F.col("error").isNull() & F.col("page").between(F.col("range_start"), F.col("_stop"))
+    for c in DOC:
+        in_range = in_range & (F.col(c) == F.col(f"_{c}"))
     return plan.join(text, in_range, "left").select(
-        *(plan[c] for c in requests.columns),
-        text.page,
-        text.text,
-        plan.page_count,
-        plan.range_start,
-        plan.range_end,
-        plan.truncated,
-        plan.error,
+        *requests.columns,
+        "page",
+        "text",
+        "page_count",
+        "range_start",
+        "range_end",
+        "truncated",
+        "error",
     )
 
 
@@ -178,13 +178,16 @@ def section_ranges(entries: DataFrame, pages: DataFrame, requests: DataFrame) ->
 def read_section(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
     """The pages of named sections; an unknown section is a row with ``error``."""
     ranges = section_ranges(entries, pages, requests)
-    answer = read(entries, pages, ranges)
-    missed = F.col("error").isNull() & F.col("end_page").isNull()
+    answer = read(entries, pages, ranges).withColumn(
+        "_missed", F.col("error").isNull() & F.col("end_page").isNull()
+    )
+    missed = F.col("_missed")
     return (
         answer.where(~missed | (F.coalesce(F.col("page"), F.lit(1)) == 1))
         .withColumn("error", F.when(missed, "no_section").otherwise(F.col("error")))
         .withColumn("page", F.when(~missed, F.col("page")))
         .withColumn("text", F.when(~missed, F.col("text")))
+        .drop("_missed")
     )
 
 

@@ -51,11 +51,11 @@ def _context(spark, d):
 
 @queries.add(
     "grep_literal",
-    hits("copyright", SEARCHED + " AND content_type LIKE 'text/%'") + """
+    hits("license", SEARCHED + " AND content_type LIKE 'text/%'") + """
 SELECT tenant_id, namespace, path, page, line, substr(line_text, 1, 300) AS text FROM hits WHERE rk <= 10""",
 )
 def _literal(spark, d):
-    found = grep.grep(c.entries(spark, d), c.pages(spark, d), "copyright", content_type="text/")
+    found = grep.grep(c.entries(spark, d), c.pages(spark, d), "license", content_type="text/")
     return found.select("tenant_id", "namespace", "path", "page", "line", "text")
 
 
@@ -137,7 +137,7 @@ def _budget_files(spark, d):
     "python_regex",
     """SELECT doc_id, n, line_text FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS n FROM documents)
-WHERE regexp_matches(line_text, '([a-z]{3})@([a-z]+)[.]')""",
+WHERE regexp_matches(line_text, '([a-z]+)[.]([0-9]{2})@(mail[0-9])[.]')""",
 )
 def _dialect(spark, d):
     from ..functions import text as tx
@@ -145,7 +145,7 @@ def _dialect(spark, d):
     lines = c.table(spark, d, "documents").select(
         "doc_id", F.posexplode(tx.split_lines(F.col("text"))).alias("_n", "line_text")
     )
-    regex = dialect.python_regex(r"(?P<user>[a-z]{3})@(?P<host>[a-z]+)[.]")
+    regex = dialect.python_regex(r"(?P<user>[a-z]+)[.](?P<number>[0-9]{2})@(?P<host>mail[0-9])[.]")
     return lines.where(F.col("line_text").rlike(regex)).select(
         "doc_id", (F.col("_n") + 1).alias("n"), "line_text"
     )
