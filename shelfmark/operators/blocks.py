@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import pin_partitions
 
 BLOCK = "_block"
 
@@ -27,7 +27,7 @@ def with_blocks(
     spread = df.repartitionByRange(*parts, *by, *order)
     if sort:
         spread = spread.sortWithinPartitions(*by, *order)
-    return cut_lineage(spread.withColumn(BLOCK, F.spark_partition_id()))
+    return pin_partitions(spread.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def _carry(blocked: DataFrame, by: list[str], total: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """OCR block tables turned into page markdown.
 
 ``blocks`` holds one row per recognised block (see ``schemas.OCR_BLOCKS``); ``seq``
-is its place on the page. All joins use (doc, page, block id), and every group is
-one page's blocks.
+is its place on the page. Words meet their parents in one equi-join on (doc, page,
+block id); what is left of a page, its lines, cells and fields, is then small enough
+to be laid out inside one row. Every group is one page.
 """
 
 from __future__ import annotations
@@ -14,164 +15,175 @@ from ..functions import text as tx
 from .extraction import quality_report
 
 PAGE = ["doc", "page"]
+LEAVES = ("WORD", "SELECTION_ELEMENT")
 
 
-def _edges(blocks: DataFrame, ids: str) -> DataFrame:
-    """(doc, page, parent id, place, child id) for one kind of reference."""
-    return blocks.select(
-        *PAGE, F.col("id").alias("parent"), "seq", "block_type", F.posexplode(ids).alias("place", "child")
-    )
+def _kind(*names: str) -> Column:
+    return F.col("block_type").isin(*names)
 
 
-def _ordered(value: Column, *order: str) -> Column:
-    """Aggregate: values in the order of columns, as an array."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("_v"))))
-    return F.transform(rows, lambda r: r["_v"])
+def _edges(blocks: DataFrame) -> DataFrame:
+    """Child references of every block that may hold words, with their place."""
+    parents = blocks.where(~_kind("TABLE", *LEAVES))
+    return parents.select(*PAGE, F.col("id").alias("parent"), F.posexplode("child_ids").alias("place", "child"))
 
 
-def child_text(blocks: DataFrame) -> DataFrame:
-    """Per block the text of its children in reference order: words, and ``[x]`` for
-    a ticked box."""
-    word = (
-        F.when(F.col("block_type") == "WORD", F.col("text"))
-        .when(
-            (F.col("block_type") == "SELECTION_ELEMENT") & (F.col("selection_status") == "SELECTED"),
-            F.lit("[x]"),
-        )
-    )
-    leaves = blocks.select(*PAGE, F.col("id").alias("child"), word.alias("word")).where(
-        F.coalesce(F.col("word"), F.lit("")) != ""
-    )
+def _words(blocks: DataFrame) -> DataFrame:
+    """Leaf blocks as text: words, and ``[x]`` for a ticked box; empty ones are left out."""
+    ticked = _kind("SELECTION_ELEMENT") & (F.col("selection_status") == "SELECTED")
+    word = F.when(_kind("WORD"), F.col("text")).when(ticked, F.lit("[x]"))
     return (
-        _edges(blocks, "child_ids")
-        .join(leaves, [*PAGE, "child"])
-        .groupBy(*PAGE, F.col("parent").alias("id"))
-        .agg(F.array_join(_ordered(F.col("word"), "place"), " ").alias("child_text"))
+        blocks.where(_kind(*LEAVES))
+        .select(*PAGE, F.col("id").alias("child"), F.nullif(word, F.lit("")).alias("word"))
+        .where(F.col("word").isNotNull())
     )
 
 
-def _cells(blocks: DataFrame) -> DataFrame:
-    """Cells with the table they belong to."""
-    tables = _edges(blocks.where("block_type = 'TABLE'"), "child_ids").select(
-        *PAGE, F.col("parent").alias("table_id"), F.col("seq").alias("table_seq"), F.col("child").alias("id")
-    )
-    return blocks.where("block_type = 'CELL'").join(tables, [*PAGE, "id"])
-
-
-def _table_sections(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rendered tables of each page, in block order."""
-    filled = cells.join(texts, [*PAGE, "id"], "left")
-    table = [*PAGE, "table_id", "table_seq"]
-    grid = filled.groupBy(*table).agg(
-        F.max("row_index").alias("_rows"),
-        F.max("column_index").alias("_cols"),
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    F.struct(F.col("row_index").alias("r"), F.col("column_index").alias("c")),
-                    F.coalesce("child_text", F.lit("")),
-                )
-            )
-        ).alias("_at"),
-    )
-    rows = F.transform(
-        F.sequence(F.lit(1), F.col("_rows")),
-        lambda r: F.transform(
-            F.sequence(F.lit(1), F.col("_cols")),
-            lambda c: F.coalesce(
-                F.try_element_at("_at", F.struct(r.alias("r"), c.alias("c"))), F.lit("")
-            ),
-        ),
-    )
+def _table_words(blocks: DataFrame) -> DataFrame:
+    """Distinct ids that the cells of some table refer to."""
+    owned = blocks.where(_kind("TABLE")).select(*PAGE, F.explode("child_ids").alias("id")).distinct()
     return (
-        grid.withColumn("_md", tx.grid_to_markdown(rows))
-        .groupBy(*PAGE)
-        .agg(_ordered(F.col("_md"), "table_seq").alias("tables"))
+        blocks.where(_kind("CELL"))
+        .join(owned, [*PAGE, "id"], "left_semi")
+        .select(*PAGE, F.explode("child_ids").alias("child"))
+        .distinct()
+        .withColumn("_tabled", F.lit(True))
     )
 
 
-def _form_section(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """``**key**: value`` lines; the last referenced value with text wins."""
-    keys = blocks.where((F.col("block_type") == "KEY_VALUE_SET") & F.array_contains("entity_types", "KEY"))
-    values = (
-        _edges(keys, "value_ids")
-        .join(texts.withColumnRenamed("id", "child"), [*PAGE, "child"])
-        .groupBy(*PAGE, F.col("parent").alias("id"))
-        .agg(F.max_by("child_text", "place").alias("value"))
-    )
-    line = F.concat(F.lit("**"), F.col("child_text"), F.lit("**: "), F.coalesce("value", F.lit("")))
-    return (
-        keys.join(texts, [*PAGE, "id"])
-        .join(values, [*PAGE, "id"], "left")
-        .withColumn("_line", F.regexp_replace(line, rf"(?U){tx.SPACE}+\z", ""))
-        .groupBy(*PAGE)
-        .agg(F.array_join(_ordered(F.col("_line"), "seq"), "\n").alias("forms"))
-    )
+def _ordered(value: Column, *order: str) -> Column:
+    """Aggregate: values in the order of columns, as an array."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, value.alias("_v"))))
+    return F.transform(rows, lambda r: r["_v"])
 
 
-def _body_section(blocks: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """Line text, without the lines that a table already shows in full."""
-    in_tables = cells.select(*PAGE, F.explode("child_ids").alias("child"), F.lit(True).alias("_shown")).distinct()
-    lines = blocks.where("block_type = 'LINE'")
-    loose = (
-        _edges(lines, "child_ids")
-        .join(in_tables, [*PAGE, "child"], "left")
-        .groupBy(*PAGE, F.col("parent").alias("id"))
-        .agg(F.bool_and(F.coalesce("_shown", F.lit(False))).alias("_covered"))
+def child_text(blocks: DataFrame) -> DataFrame:
+    """Per block with children: their words in reference order (``child_text``), and
+    ``covered``, true when table cells refer to every one of the children."""
+    words = F.array_join(
+        F.transform(
+            F.filter(
+                F.array_sort(F.collect_list(F.struct("place", "word"))), lambda r: r["word"].isNotNull()
+            ),
+            lambda r: r["word"],
+        ),
+        " ",
     )
-    text = F.coalesce(F.nullif("text", F.lit("")), F.col("child_text"), F.lit(""))
     return (
-        lines.join(loose, [*PAGE, "id"], "left")
-        .where(~F.coalesce("_covered", F.lit(False)))
-        .join(texts, [*PAGE, "id"], "left")
-        .withColumn("_text", text)
-        .where(~tx.is_blank(F.col("_text")))
-        .groupBy(*PAGE)
-        .agg(F.array_join(_ordered(F.col("_text"), "seq"), "\n").alias("body"))
+        _edges(blocks)
+        .join(_words(blocks), [*PAGE, "child"], "left")
+        .join(_table_words(blocks), [*PAGE, "child"], "left")
+        .groupBy(*PAGE, F.col("parent").alias("id"))
+        .agg(
+            words.alias("child_text"),
+            F.bool_and(F.coalesce("_tabled", F.lit(False))).alias("covered"),
+        )
     )
 
 
 def line_confidence(blocks: DataFrame) -> DataFrame:
     """Per page the mean confidence of its lines as a fraction, null without scores."""
-    score = F.when(F.col("block_type") == "LINE", F.col("confidence"))
+    score = F.when(_kind("LINE"), F.col("confidence"))
     return blocks.groupBy(*PAGE).agg((F.avg(score) / 100.0).alias("confidence"))
 
 
-def assemble_pages(blocks: DataFrame) -> DataFrame:
-    """Markdown of every page: body, tables, forms, figure notes; with confidence."""
-    texts = child_text(blocks)
-    cells = _cells(blocks)
-    figures = blocks.groupBy(*PAGE).agg(F.count_if(F.col("block_type") == "LAYOUT_FIGURE").alias("_figures"))
-    notes = F.when(
-        F.col("_figures") > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.col("_figures").cast("int")),
-            lambda n: F.concat(F.lit("[figure "), n.cast("string"), F.lit(": see source page]")),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    sections = F.concat(
-        F.array(F.coalesce("body", F.lit(""))),
-        F.coalesce("tables", none),
-        F.array(F.coalesce("forms", F.lit(""))),
-        notes,
-    )
-    return (
-        figures.join(_body_section(blocks, cells, texts), PAGE, "left")
-        .join(_table_sections(cells, texts), PAGE, "left")
-        .join(_form_section(blocks, texts), PAGE, "left")
-        .join(line_confidence(blocks), PAGE)
-        .select(
-            *PAGE,
-            F.array_join(F.filter(sections, lambda s: ~tx.is_blank(s)), "\n\n").alias("text"),
-            "confidence",
+# --- layout of one page, over its array of blocks ``b`` --------------------------
+
+
+def _body(b: Column) -> Column:
+    lines = F.filter(b, lambda x: (x["block_type"] == "LINE") & ~x["covered"])
+    said = F.transform(lines, lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), x["child_text"]))
+    return F.array_join(F.filter(said, lambda s: ~tx.is_blank(s)), "\n")
+
+
+def _grid(cells: Column) -> Column:
+    """Cells as rows of texts; a place no cell names stays empty."""
+    width = F.array_max(F.transform(cells, lambda x: x["column_index"]))
+    height = F.array_max(F.transform(cells, lambda x: x["row_index"]))
+
+    def at(row: Column, column: Column) -> Column:
+        here = F.filter(row, lambda x: x["column_index"] == column)
+        return F.coalesce(F.try_element_at(here, F.lit(-1))["child_text"], F.lit(""))
+
+    def one_row(number: Column) -> Column:
+        return tx.let(
+            F.filter(cells, lambda x: x["row_index"] == number),
+            lambda row: F.transform(F.sequence(F.lit(1), width), lambda c: at(row, c)),
+        )
+
+    return F.transform(F.sequence(F.lit(1), height), one_row)
+
+
+def _tables(b: Column) -> Column:
+    def render(table: Column) -> Column:
+        own = F.filter(
+            b, lambda x: (x["block_type"] == "CELL") & F.array_contains(table["child_ids"], x["id"])
         )
+        return tx.let(
+            own,
+            lambda cells: F.when(F.size(cells) > 0, tx.grid_to_markdown(_grid(cells))).otherwise(""),
+        )
+
+    return F.transform(F.filter(b, lambda x: x["block_type"] == "TABLE"), render)
+
+
+def _forms(b: Column) -> Column:
+    fields = F.filter(b, lambda x: x["block_type"] == "KEY_VALUE_SET")
+
+    def line(key: Column) -> Column:
+        named = F.transform(
+            key["value_ids"],
+            lambda v: F.get(F.filter(fields, lambda x: x["id"] == v), F.lit(0))["child_text"],
+        )
+        # The last referenced value that has text wins.
+        value = F.try_element_at(F.filter(named, lambda t: F.coalesce(t != "", F.lit(False))), F.lit(-1))
+        full = F.concat(F.lit("**"), key["child_text"], F.lit("**: "), F.coalesce(value, F.lit("")))
+        return F.regexp_replace(full, rf"(?U){tx.SPACE}+\z", "")
+
+    keys = F.filter(fields, lambda x: x["is_key"] & (x["child_text"] != ""))
+    return F.array_join(F.transform(keys, line), "\n")
+
+
+def _figures(b: Column) -> Column:
+    found = F.filter(b, lambda x: x["block_type"] == "LAYOUT_FIGURE")
+    return F.transform(
+        found, lambda x, i: F.concat(F.lit("[figure "), (i + 1).cast("string"), F.lit(": see source page]"))
+    )
+
+
+def assemble_pages(blocks: DataFrame) -> DataFrame:
+    """Markdown of every page: body lines that no table shows, tables, form fields and
+    figure notes; with the page's confidence."""
+    upper = blocks.where(~_kind(*LEAVES)).join(child_text(blocks), [*PAGE, "id"], "left")
+    shape = F.struct(
+        "seq",
+        "id",
+        "block_type",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("child_text", F.lit("")).alias("child_text"),
+        F.coalesce("covered", F.lit(False)).alias("covered"),
+        "row_index",
+        "column_index",
+        F.coalesce(F.array_contains("entity_types", "KEY"), F.lit(False)).alias("is_key"),
+        F.when(_kind("TABLE"), F.col("child_ids")).alias("child_ids"),
+        F.coalesce("value_ids", F.array().cast("array<string>")).alias("value_ids"),
+    )
+    score = F.when(_kind("LINE"), F.col("confidence"))
+    whole = upper.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_list(shape)).alias("_b"), (F.avg(score) / 100.0).alias("confidence")
+    )
+    b = F.col("_b")
+    sections = F.concat(F.array(_body(b)), _tables(b), F.array(_forms(b)), _figures(b))
+    return whole.select(
+        *PAGE,
+        F.array_join(F.filter(sections, lambda s: ~tx.is_blank(s)), "\n\n").alias("text"),
+        "confidence",
     )
 
 
 def plain_pages(blocks: DataFrame) -> DataFrame:
     """Plain OCR: the lines of each page, joined by newlines, with confidence."""
-    lines = blocks.where("block_type = 'LINE'")
+    lines = blocks.where(_kind("LINE"))
     return lines.groupBy(*PAGE).agg(
         F.array_join(_ordered(F.coalesce("text", F.lit("")), "seq"), "\n").alias("text"),
         (F.avg("confidence") / 100.0).alias("confidence"),

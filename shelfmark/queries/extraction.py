@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -11,6 +13,8 @@ from ..functions import text as tx
 from ..operators import extraction as ex
 from ..operators import ocr
 from ..plans import ingest
+from ..schemas import OCR_BLOCKS
+from ..session import cut_lineage
 from . import corpus as c
 from .registry import Registry
 
@@ -166,64 +170,42 @@ def _renumber(spark, d):
 
 def turn_blocks(spark, d):
     """A turn as a page of blocks: its first line is laid out as a two-column table, its
-    role and number are a form field, assistants add a figure."""
+    role and number are a form field, assistants add a figure. The blocks are written
+    once, since OCR output is a table that its readers scan more than once."""
     turns = c.table(spark, d, "conversations").select(
-        F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), "role",
-        tx.split_lines(F.col("text")).alias("_lines"),
+        F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), "role", "text"
     )
-    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
-    none = F.array().cast("array<string>")
-
-    def block(ident, kind, seq, **more):
-        fields = {
-            "id": ident, "block_type": F.lit(kind), "seq": seq,
-            "text": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"),
-            "row_index": F.lit(None).cast("int"), "column_index": F.lit(None).cast("int"),
-            "entity_types": none, "selection_status": F.lit(None).cast("string"),
-            "child_ids": none, "value_ids": none,
-        }
-        fields.update(more)
-        return F.struct(*(value.alias(name) for name, value in fields.items()))
-
-    def numbered(prefix, line_no, many):
-        return F.transform(many, lambda w, i: F.concat(F.lit(prefix), line_no.cast("string"), F.lit("."), i.cast("string")))
-
-    def of_line(line, n):
-        spoken = words(line)
-        seq = (n + 1) * 100000
-        ids = numbered("w", n, spoken)
-        return F.concat(
-            F.array(block(F.concat(F.lit("l"), n.cast("string")), "LINE", seq, text=line,
-                          confidence=(50 + F.pmod(F.length(line), F.lit(50))).cast("double"), child_ids=ids)),
-            F.transform(spoken, lambda w, i: block(F.get(ids, i), "WORD", seq + i + 1, text=w)),
+    lines = turns.select("doc", "page", F.posexplode(tx.split_lines(F.col("text"))).alias("n", "line"))
+    spoken = lines.withColumn("words", F.filter(F.split("line", " "), lambda w: w != ""))
+    words = spoken.select("doc", "page", "n", F.posexplode("words").alias("i", "word"))
+    first = words.where("n = 0")
+    text = lambda *parts: F.concat(*(F.col(p).cast("string") if p in ("n", "i") else F.lit(p) for p in parts))
+
+    def block(rows, kind, ident, seq, **more):
+        given = {"id": ident, "block_type": F.lit(kind), "seq": seq, **more}
+        return rows.select(
+            "doc", "page",
+            *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in OCR_BLOCKS.fields[2:]),
         )
 
-    first = words(F.get("_lines", F.lit(0)))
-    cells = F.transform(
-        first,
-        lambda w, i: block(
-            F.concat(F.lit("c"), i.cast("string")), "CELL", i + 10,
-            row_index=(F.floor(i / 2) + 1).cast("int"), column_index=(F.pmod(i, F.lit(2)) + 1).cast("int"),
-            child_ids=F.array(F.concat(F.lit("w0."), i.cast("string"))),
-        ),
-    )
-    table = block(
-        F.lit("t"), "TABLE", F.lit(1),
-        child_ids=F.transform(first, lambda w, i: F.concat(F.lit("c"), i.cast("string"))),
-    )
-    form = [
-        block(F.lit("k"), "KEY_VALUE_SET", F.lit(2), entity_types=F.array(F.lit("KEY")),
+    ids = lambda prefix: F.transform("words", lambda w, i: F.concat(F.lit(prefix), F.col("n").cast("string"), F.lit("."), i.cast("string")))
+    every = [
+        block(spoken, "LINE", text("l", "n"), (F.col("n") + 1) * 100000, text=F.col("line"),
+              confidence=50 + F.pmod(F.length("line"), F.lit(50)), child_ids=ids("w")),
+        block(words, "WORD", text("w", "n", ".", "i"), (F.col("n") + 1) * 100000 + F.col("i") + 1, text=F.col("word")),
+        block(first, "CELL", text("c0.", "i"), F.col("i") + 10, row_index=F.floor(F.col("i") / 2) + 1,
+              column_index=F.pmod("i", F.lit(2)) + 1, child_ids=F.array(text("w0.", "i"))),
+        block(spoken.where("n = 0"), "TABLE", F.lit("t"), F.lit(1), child_ids=ids("c")),
+        block(turns, "KEY_VALUE_SET", F.lit("k"), F.lit(2), entity_types=F.array(F.lit("KEY")),
               child_ids=F.array(F.lit("kw")), value_ids=F.array(F.lit("v"))),
-        block(F.lit("v"), "KEY_VALUE_SET", F.lit(3), entity_types=F.array(F.lit("VALUE")),
+        block(turns, "KEY_VALUE_SET", F.lit("v"), F.lit(3), entity_types=F.array(F.lit("VALUE")),
               child_ids=F.array(F.lit("vw"), F.lit("vs"))),
-        block(F.lit("kw"), "WORD", F.lit(4), text=F.col("role")),
-        block(F.lit("vw"), "WORD", F.lit(5), text=F.col("page").cast("string")),
-        block(F.lit("vs"), "SELECTION_ELEMENT", F.lit(6), selection_status=F.lit("SELECTED")),
+        block(turns, "WORD", F.lit("kw"), F.lit(4), text=F.col("role")),
+        block(turns, "WORD", F.lit("vw"), F.lit(5), text=F.col("page").cast("string")),
+        block(turns, "SELECTION_ELEMENT", F.lit("vs"), F.lit(6), selection_status=F.lit("SELECTED")),
+        block(turns.where("role = 'assistant'"), "LAYOUT_FIGURE", F.lit("f"), F.lit(7)),
     ]
-    picture = F.array(block(F.lit("f"), "LAYOUT_FIGURE", F.lit(7)))
-    figure = F.filter(picture, lambda b: F.col("role") == "assistant")
-    every = F.concat(F.array(table, *form), cells, figure, F.flatten(F.transform("_lines", of_line)))
-    return turns.select("doc", "page", F.explode(every).alias("_b")).select("doc", "page", "_b.*")
+    return cut_lineage(reduce(DataFrame.union, every))
 
 
 OCR = """

@@ -35,7 +35,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back with a short lineage."""
+    """``df`` written once as a table in the shared folder and read back.
+
+    The plan runs one time, later readers prune columns, and a lost executor costs a
+    re-read instead of a recomputation.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder with its partitions and their order."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
