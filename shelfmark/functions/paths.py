@@ -104,8 +104,9 @@ def delta_bytes(text: Column, existing_size: Column) -> Column:
 
 def iso8601(ts: Column) -> Column:
     """ISO text of a timestamp in UTC; microseconds appear only when not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(ts, ".SSSSSS")
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(utc, ".SSSSSS")
     return F.concat(whole, F.when(micros == ".000000", F.lit("")).otherwise(micros), F.lit("+00:00"))
 
 

@@ -27,9 +27,6 @@ def page_hits(
     """Pages with ``hits``: an array of (line, text, before, after), first ``per_page``."""
     regex = dialect.python_regex(pattern, ignore_case)
     around = min(max(0, context_lines), limits.GREP_CONTEXT_LINES)
-    if dialect.is_literal(pattern):
-        # Plain words never span a line end, so one test of the page decides.
-        pages = pages.where(F.col("text").rlike(regex))
     at = F.filter(
         F.transform(F.col("_lines"), lambda l, i: F.when(l.rlike(regex), i)),
         lambda i: i.isNotNull(),
@@ -82,6 +79,10 @@ def grep(
     """All hits of a corpus, at most ``max_matches_per_file`` per document in reading
     order. Nothing is bounded across documents; see ``grep_bounded`` for that."""
     most = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
+    if dialect.is_literal(pattern):
+        # Plain words never span a line end, so one test of the page decides whether
+        # it is cut into lines at all.
+        pages = pages.where(F.col("text").rlike(dialect.python_regex(pattern, ignore_case)))
     found = (
         page_hits(pages, pattern, ignore_case, context_lines, most)
         .where(F.size("hits") > 0)
