@@ -94,11 +94,9 @@ class _Walk:
                 continue
             try:
                 found = rung.normalize(bytes(content), content_type, path)
-            except NormalizationError as err:
-                errors.append(f"{rung.name}:{err.reason}")
-                continue
             except Exception as err:  # noqa: BLE001 - a user parser may raise anything
-                errors.append(f"{rung.name}:parse_failed:{type(err).__name__}")
+                reason = getattr(err, "reason", None) or f"parse_failed:{type(err).__name__}"
+                errors.append(f"{rung.name}:{reason}")
                 continue
             if self.gate.passes(found):
                 pages = [

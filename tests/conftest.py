@@ -1,3 +1,4 @@
+import os
 import sys
 from datetime import datetime, timezone
 from pathlib import Path
@@ -8,6 +9,9 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 
+# Python workers must find the parsers and connectors that tests define.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
+
 from pyspark.sql import SparkSession  # noqa: E402
 
 from shelfmark.schemas import ENTRIES, PAGES  # noqa: E402
