@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import limits
@@ -46,11 +46,13 @@ def scratch_list(state: DataFrame, prefix: str = "", limit: int | None = None) -
 #
 # Whether a write is admitted depends on what was admitted before it, so a ledger is
 # a fold, not a window. The rows are cut into consecutive blocks of bounded size, and
-# every block folds on its own from the usage it starts with. Only a block that opens
-# in the middle of a principal's rows needs a start from its neighbour. Those starts
-# are guessed first and the blocks whose guess was wrong fold again, until every start
-# equals its neighbour's end: then the answer is the sequential one. The driver holds
-# one small record per block, never rows.
+# every block folds on its own from the usage it opens with. Only a block that opens
+# in the middle of a principal's rows needs that usage from its neighbour. Where the
+# block's highest running sum fits under the quota from there, nothing in it can be
+# rejected and its end is a plain sum; otherwise its end is known for the opening it
+# was folded with, and it folds again when the opening turns out to be another one.
+# Once all neighbours agree the answer is the sequential one. The driver holds one
+# small record per block, never rows.
 
 
 def admit_run(deltas: np.ndarray, start: int, quota: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,45 +111,60 @@ class _Fold:
             yield frame.drop(columns=[BLOCK])
 
     def summary(self, frames):
-        """One record: the block's first and last principal and its closing usage."""
+        """One record: the block's first and last principal, the first one's total and
+        highest running sum at a positive delta, and the last one's closing usage."""
         first = block = last = None
-        used = 0
+        used = total = 0
+        peak = _LOWEST
         for frame, owner, used in self.batches(frames):
             if first is None:
                 block = int(frame[BLOCK].iloc[0])
                 first = (frame["tenant_id"].iloc[0], frame["principal_id"].iloc[0])
             last = owner
+            own = (frame["tenant_id"] == first[0]) & (frame["principal_id"] == first[1])
+            deltas = frame["delta_bytes"].to_numpy(dtype=np.int64)[own.to_numpy()]
+            if len(deltas):
+                sums = total + np.cumsum(deltas)
+                total = int(sums[-1])
+                if (deltas > 0).any():
+                    peak = max(peak, int(sums[deltas > 0].max()))
         if first is not None:
             yield pd.DataFrame(
-                [(block, *first, *last, used)],
-                columns=["block", "first_t", "first_p", "last_t", "last_p", "closing"],
+                [(block, *first, *last, total, peak, self.starts.get(block, 0), used)],
+                columns=["block", "first_t", "first_p", "last_t", "last_p", "total", "peak", "opening", "closing"],
             )
 
 
+_LOWEST = -(2**62)
 _SUMMARY = (
-    "block int, first_t string, first_p string, last_t string, last_p string, closing long"
+    "block int, first_t string, first_p string, last_t string, last_p string, "
+    "total long, peak long, opening long, closing long"
 )
 
 
 def _settled_starts(rows: DataFrame, quota: int) -> dict[int, int]:
     """The usage every block opens with, once all neighbours agree."""
     starts: dict[int, int] = {}
-    known: dict[int, tuple] = {}
+    known: dict[int, Row] = {}
     stale: list[int] | None = None
-    while True:
+    while stale is None or stale:
         part = rows if stale is None else rows.where(F.col(BLOCK).isin(stale))
         for r in part.mapInPandas(_Fold(quota, starts).summary, _SUMMARY).collect():
-            known[r.block] = ((r.first_t, r.first_p), (r.last_t, r.last_p), r.closing)
-        stale = []
-        order = sorted(known)
-        for before, block in zip(order, order[1:]):
-            continues = known[block][0] == known[before][1]
-            opening = known[before][2] if continues else 0
-            if starts.get(block, 0) != opening:
-                starts[block] = opening
-                stale.append(block)
-        if not stale:
-            return starts
+            known[r.block] = r
+        stale, before, leaving = [], None, 0
+        for block in sorted(known):
+            r = known[block]
+            first, last = (r.first_t, r.first_p), (r.last_t, r.last_p)
+            starts[block] = opening = leaving if first == before else 0
+            if first == last and opening + r.peak <= quota:
+                leaving = opening + r.total
+            else:
+                # Another principal's rows end the block: its usage began at zero here.
+                leaving = r.closing
+                if first == last and opening != r.opening:
+                    stale.append(block)
+            before = last
+    return starts
 
 
 def quota_replay(ledger: DataFrame, quota: int, blocks: int | None = None) -> DataFrame:

@@ -92,11 +92,17 @@ def ingest_documents(
     rows = reuse_ids(staged.drop("pages"), entries, at).withColumn(
         "extraction", extraction_state("extractor", "page_count", "text_checksum")
     )
-    ids = rows.select(*PK, "entry_id")
+    # Page text takes its id from the key itself. Only rows that came with another id
+    # are looked up; written down, their true size decides how they are joined.
+    derived = paths.entry_id(*(F.col(c) for c in PK))
+    foreign = cut_lineage(
+        live(entries).where(F.col("entry_id") != derived).select(*PK, F.col("entry_id").alias("_id"))
+    )
     pages = (
         staged.where(F.col("extractor").isNotNull())
         .select(*PK, F.explode("pages").alias("_p"))
-        .join(ids, PK)
+        .join(foreign, PK, "left")
+        .withColumn("entry_id", F.coalesce(F.col("_id"), derived))
         .select(*DOC, "_p.page", "_p.text", "_p.source_locator")
     )
     return Ingested(_as_entries(rows, at), pages, bad)

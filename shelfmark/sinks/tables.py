@@ -18,17 +18,21 @@ PARTITIONS = ("tenant_id", "namespace")
 
 def write_pages(pages: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Store page text; pages whose number the key scheme cannot name are returned,
-    not written. Rows of a partition are kept together and ordered by document."""
+    not written. Rows are rebalanced by namespace, so that a small one becomes one file
+    and a hot one is split over many tasks, and ordered by document within a file."""
     good, bad = admit(pages, {"bad_page": keys.valid_page(F.col("page"))})
     shaped = good.select(*(F.col(f.name).cast(f.dataType) for f in PAGES.fields))
-    append_batch(shaped.sortWithinPartitions(*DOC, "page"), path, batch_id, PARTITIONS)
+    laid_out = shaped.hint("rebalance", *PARTITIONS).sortWithinPartitions(*DOC, "page")
+    append_batch(laid_out, path, batch_id, PARTITIONS)
     return bad
 
 
 def upsert_entries(entries: DataFrame, path: str, batch_id: int) -> None:
     """Put entries by primary key. A put over a tombstone revives the row, because the
     newest row of a key is the current one."""
-    append_batch(entries.select(*(f.name for f in ENTRIES.fields)), path, batch_id, PARTITIONS)
+    shaped = entries.select(*(f.name for f in ENTRIES.fields))
+    laid_out = shaped.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PK)
+    append_batch(laid_out, path, batch_id, PARTITIONS)
 
 
 def tombstones(current: DataFrame, requests: DataFrame, now: datetime | Column) -> DataFrame:
