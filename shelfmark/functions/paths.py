@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import mimetypes
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +34,9 @@ def title(path: Column, given: Column | None = None) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(table.items()))
-    return F.try_element_at(F.create_map(*pairs), key)
+    """A constant table as one literal; the optimizer folds the parse away."""
+    literal = F.from_json(F.lit(json.dumps(table, sort_keys=True)), "map<string,string>")
+    return F.try_element_at(literal, key)
 
 
 def guess_type(path: Column, given: Column | None = None) -> Column:

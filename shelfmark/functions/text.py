@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import limits
@@ -29,6 +29,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(
+    df: DataFrame, keep: list, values: Column, value: str, position: str | None = None
+) -> DataFrame:
+    """``keep`` columns and one row per element of an array that is costly to compute.
+
+    A plain explode makes the optimizer test the array's size first, and push that test
+    below the projection with a second copy of the whole computation. The outer form is
+    left alone; the empty row it adds is dropped by a test on the element itself.
+    """
+    if position is None:
+        out = df.select(*keep, F.explode_outer(values).alias(value))
+    else:
+        out = df.select(*keep, F.posexplode_outer(values).alias(position, value))
+    return out.where(F.col(value).isNotNull())
+
+
 def split_lines(text: Column) -> Column:
     """Lines as an array; a final line end does not open an empty last line."""
     # Plain newlines take the single-character split, which needs no regex; byte

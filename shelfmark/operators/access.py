@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .catalog import in_namespace, live
 
 
@@ -68,11 +69,10 @@ def contexts_from_claims(
 
 def grants(contexts: DataFrame) -> DataFrame:
     """Usable contexts as rows (tenant, principal, namespace); '*' is tenant-wide."""
-    return (
-        contexts.where(F.col("rejected").isNull())
-        .select("tenant_id", "principal_id", F.explode("namespaces").alias("namespace"))
-        .distinct()
-    )
+    usable = contexts.where(F.col("rejected").isNull())
+    return tx.explode_once(
+        usable, ["tenant_id", "principal_id"], F.col("namespaces"), "namespace"
+    ).distinct()
 
 
 def has_scopes(held: Column, required: list[str]) -> Column:

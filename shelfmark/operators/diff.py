@@ -124,8 +124,7 @@ def diff_lines(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> Dat
         F.transform(tx.split_lines(F.col("text_b")), lambda l: F.struct(l.alias("line"), F.lit(1).alias("n"))),
     )
     return (
-        pairs.where(F.col("text_a") != F.col("text_b"))
-        .select(*PAIR, F.explode(signed).alias("_l"))
+        tx.explode_once(pairs.where(F.col("text_a") != F.col("text_b")), PAIR, signed, "_l")
         .groupBy(*PAIR, F.col("_l.line").alias("line"))
         .agg(F.sum("_l.n").alias("_net"))
         .where(F.col("_net") != 0)

@@ -83,12 +83,8 @@ def grep(
         # Plain words never span a line end, so one test of the page decides whether
         # it is cut into lines at all.
         pages = pages.where(F.col("text").rlike(dialect.python_regex(pattern, ignore_case)))
-    found = (
-        page_hits(pages, pattern, ignore_case, context_lines, most)
-        .where(F.size("hits") > 0)
-        .select(*DOC, "page", F.explode("hits").alias("_h"))
-        .select(*DOC, "page", "_h.*")
-    )
+    searched = page_hits(pages, pattern, ignore_case, context_lines, most)
+    found = tx.explode_once(searched, [*DOC, "page"], F.col("hits"), "_h").select(*DOC, "page", "_h.*")
     # A document has at most 9,999 pages and each brings ``most`` hits at most; the rank
     # limit is also applied before the shuffle, which then serves the join as well.
     order = Window.partitionBy(*DOC).orderBy("page", "line")

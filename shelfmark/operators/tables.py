@@ -58,18 +58,17 @@ def page_tables(pages: DataFrame) -> DataFrame:
     """One row per table: page, first line, header cells, body cells and row count."""
     body = F.col("_s.stop") - F.col("_s.first") - 2
     shown = F.slice("_lines", F.col("_s.first") + 3, F.least(F.greatest(body, F.lit(0)), F.lit(limits.TABLE_ROWS)))
-    return (
-        pages.where(F.contains("text", F.lit("|")))
-        .select(*DOC, "page", tx.split_lines(F.col("text")).alias("_lines"))
-        .withColumn("_s", F.explode(F.slice(_spans(F.col("_lines")), 1, limits.TABLES)))
-        .select(
-            *DOC,
-            "page",
-            (F.col("_s.first") + 1).alias("line"),
-            tx.table_cells(F.get("_lines", F.col("_s.first"))).alias("header"),
-            F.transform(shown, tx.table_cells).alias("rows"),
-            F.greatest(body, F.lit(0)).alias("row_count"),
-        )
+    cut = pages.where(F.contains("text", F.lit("|"))).select(
+        *DOC, "page", tx.split_lines(F.col("text")).alias("_lines")
+    )
+    spans = F.slice(_spans(F.col("_lines")), 1, limits.TABLES)
+    return tx.explode_once(cut, [*DOC, "page", "_lines"], spans, "_s").select(
+        *DOC,
+        "page",
+        (F.col("_s.first") + 1).alias("line"),
+        tx.table_cells(F.get("_lines", F.col("_s.first"))).alias("header"),
+        F.transform(shown, tx.table_cells).alias("rows"),
+        F.greatest(body, F.lit(0)).alias("row_count"),
     )
 
 
@@ -104,7 +103,7 @@ def tables(entries: DataFrame, pages: DataFrame) -> DataFrame:
 def table_values(found: DataFrame, keys: list[str]) -> DataFrame:
     """Tables as one row per cell; row 0 is the header, columns count from 1."""
     grid = F.concat(F.array("header"), F.col("rows"))
-    rows = found.select(*keys, F.posexplode(grid).alias("row", "_cells"))
-    return rows.select(*keys, "row", F.posexplode("_cells").alias("_c", "value")).select(
+    rows = tx.explode_once(found, keys, grid, "_cells", position="row")
+    return tx.explode_once(rows, [*keys, "row"], F.col("_cells"), "value", position="_c").select(
         *keys, "row", (F.col("_c") + 1).alias("col"), "value"
     )

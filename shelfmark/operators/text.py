@@ -20,9 +20,10 @@ DOC = ["tenant_id", "namespace", "entry_id"]
 
 def lines(pages: DataFrame) -> DataFrame:
     """Pages as numbered lines, 1-based within the page."""
-    return pages.select(
-        *DOC, "page", F.posexplode(tx.split_lines(F.col("text"))).alias("_at", "line_text")
-    ).select(*DOC, "page", (F.col("_at") + 1).alias("line"), "line_text")
+    found = tx.explode_once(
+        pages, [*DOC, "page"], tx.split_lines(F.col("text")), "line_text", position="_at"
+    )
+    return found.select(*DOC, "page", (F.col("_at") + 1).alias("line"), "line_text")
 
 
 def readable_documents(entries: DataFrame) -> DataFrame:
@@ -97,17 +98,14 @@ def page_headings(pages: DataFrame, per_page: int) -> DataFrame:
         lambda l, i: F.when(tx.is_heading(l), F.struct((i + 1).alias("line"), l.alias("raw"))),
     )
     found = F.slice(F.filter(numbered, lambda h: h.isNotNull()), 1, per_page)
-    return (
-        # A page without a heading mark is dropped before it is cut into lines.
-        pages.where(F.col("text").rlike(rf"(\A|{tx.LINE_END})#"))
-        .select(*DOC, "page", F.explode(found).alias("_h"))
-        .select(
-            *DOC,
-            "page",
-            F.col("_h.line").alias("line"),
-            tx.heading_level(F.col("_h.raw")).alias("level"),
-            tx.heading_title(F.col("_h.raw")).alias("title"),
-        )
+    # A page without a heading mark is dropped before it is cut into lines.
+    marked = pages.where(F.contains("text", F.lit("#")))
+    return tx.explode_once(marked, [*DOC, "page"], found, "_h").select(
+        *DOC,
+        "page",
+        F.col("_h.line").alias("line"),
+        tx.heading_level(F.col("_h.raw")).alias("level"),
+        tx.heading_title(F.col("_h.raw")).alias("title"),
     )
 
 

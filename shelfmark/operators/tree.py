@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import limits
+from ..functions import text as tx
 from .bounds import bounded
 from .catalog import NAMESPACE, live
 
@@ -24,17 +25,19 @@ def tree_rollup(entries: DataFrame, prefix: str = "") -> DataFrame:
     if prefix:
         rows = rows.where(F.startswith("path", F.lit(prefix)))
     parts = _parts(F.col("path"))
-    folders = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.struct(
-            F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder"),
-            i.alias("depth"),
-            (i == F.size(parts) - 1).alias("direct"),
+    folders = tx.let(
+        parts,
+        lambda p: F.transform(
+            F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)),
+            lambda i: F.struct(
+                F.array_join(F.slice(p, F.lit(1), i), "/").alias("folder"),
+                i.alias("depth"),
+                (i == F.size(p) - 1).alias("direct"),
+            ),
         ),
     )
     return (
-        rows.where(F.size(parts) > 0)
-        .select(*NAMESPACE, "size", F.explode(folders).alias("_f"))
+        tx.explode_once(rows, [*NAMESPACE, "size"], folders, "_f")
         .groupBy(*NAMESPACE, F.col("_f.folder").alias("folder"), F.col("_f.depth").alias("depth"))
         .agg(
             F.count("*").alias("files"),
@@ -64,9 +67,9 @@ def tree_rows(
         return F.array_join(marked, "")
 
     file_line = F.struct(
-        F.concat(folder_key(depth), F.lit("1"), F.element_at(parts, -1)).alias("sort_key"),
+        F.concat(folder_key(depth), F.lit("1"), F.get(parts, depth)).alias("sort_key"),
         depth.alias("depth"),
-        F.element_at(parts, -1).alias("name"),
+        F.get(parts, depth).alias("name"),
         F.lit(False).alias("is_dir"),
     )
     folder_lines = F.transform(
@@ -78,12 +81,10 @@ def tree_rows(
             F.lit(True).alias("is_dir"),
         ),
     )
+    split = listed.withColumn("_parts", _parts(F.substring("path", len(prefix) + 1, 2**31 - 1)))
+    lines = F.when(F.size(parts) > 0, F.concat(folder_lines, F.array(file_line)))
     return (
-        listed.withColumn("_parts", _parts(F.substring("path", len(prefix) + 1, 2**31 - 1)))
-        .where(F.size(parts) > 0)
-        .select(
-            *NAMESPACE, "truncated", F.explode(F.concat(folder_lines, F.array(file_line))).alias("_l")
-        )
+        tx.explode_once(split, [*NAMESPACE, "truncated"], lines, "_l")
         .select(*NAMESPACE, "_l.*", "truncated")
         .distinct()
     )

@@ -17,7 +17,9 @@ from .catalog import NAMESPACE, PK, live
 
 def originals(objects: DataFrame) -> DataFrame:
     """Listed objects that are originals, with their primary-key parts."""
-    parsed = objects.withColumn("_k", keys.parse_key(F.col("key")))
+    # The channel word is tested apart from the parse, so that a scan can use it.
+    listed = objects.where(F.startswith("key", F.lit("tenants/")))
+    parsed = listed.withColumn("_k", keys.parse_key(F.col("key")))
     return parsed.where(F.col("_k.channel") == "original").select(
         F.col("_k.tenant_id").alias("tenant_id"),
         F.col("_k.namespace").alias("namespace"),

@@ -8,10 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys, paths
+from ..functions import paths
 from ..operators.catalog import PK, admit_documents, live
 from ..operators.extraction import extraction_state
 from ..operators.text import DOC, text_checksum_of
+from ..operators.upkeep import originals
 from ..schemas import ENTRIES, EXTRACTION, PAGES, SOURCE_REF
 from ..session import cut_lineage
 from ..sinks.history import append_batch, current_entries, read_history
@@ -120,11 +121,8 @@ def _as_entries(rows: DataFrame, at: Column) -> DataFrame:
 def extraction_backlog(objects: DataFrame, entries: DataFrame) -> DataFrame:
     """Originals that still need text: without a live row, pending, catalog-only, or
     stored anew since their row was written. Extracted and unchanged ones are left."""
-    parsed = objects.withColumn("_k", keys.parse_key(F.col("key"))).where(
-        F.col("_k.channel") == "original"
-    )
-    wanted = parsed.select(
-        *(F.col(f"_k.{c}").alias(c) for c in PK), "key", F.col("etag").alias("object_etag"), "content_type"
+    wanted = originals(objects).select(
+        *PK, "key", F.col("etag").alias("object_etag"), "content_type"
     )
     known = live(entries).select(
         *PK, F.col("etag").alias("_etag"), F.col("extraction.status").alias("_status")

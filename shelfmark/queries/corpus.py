@@ -21,8 +21,21 @@ TENANTS = ("acme", "globex", "initech")
 SUFFIXES = (".md", ".txt", ".html", ".pdf", ".png")
 
 
+# Tables whose rows are long texts: most work on them happens in the scan stage.
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the files offer fewer splits than there are cores, as a
+    small table in one row group does. A table of many splits is left as it is, so text
+    is never shuffled where it is large; filters and pruning pass through either way."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _pick(number: Column, names: tuple[str, ...]) -> Column:
@@ -113,15 +126,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document text cut into pages of ten lines, inside the row."""
     docs = _identity(table(spark, sf_dir, "documents"))
     lines = F.col("_lines")
-    cut = F.transform(
-        F.sequence(F.lit(0), ((F.size(lines) - 1) / PAGE_LINES).cast("int")),
-        lambda p: F.array_join(F.slice(lines, p * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"),
+    cut = F.when(
+        F.size(lines) > 0,
+        F.transform(
+            F.sequence(F.lit(0), ((F.size(lines) - 1) / PAGE_LINES).cast("int")),
+            lambda p: F.array_join(F.slice(lines, p * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"),
+        ),
     )
-    return (
-        docs.withColumn("_lines", tx.split_lines(F.col("text")))
-        .where(F.size("_lines") > 0)
-        .select("tenant_id", "namespace", "entry_id", F.posexplode(cut).alias("_p", "text"))
-        .select("tenant_id", "namespace", "entry_id", (F.col("_p") + 1).alias("page"), "text")
+    key = ["tenant_id", "namespace", "entry_id"]
+    cutting = docs.select(*key, tx.split_lines(F.col("text")).alias("_lines"))
+    return tx.explode_once(cutting, key, cut, "text", position="_p").select(
+        *key, (F.col("_p") + 1).alias("page"), "text"
     )
 
 

@@ -160,7 +160,8 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY page) AS new_pa
 FROM parts WHERE regexp_matches(text, '[^[:space:]]')""",
 )
 def _renumber(spark, d):
-    parts = c.table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "<p>")).alias("_p", "text"))
+    html = c.table(spark, d, "pages")
+    parts = tx.explode_once(html, ["page_id"], F.split("html", "<p>"), "text", position="_p")
     pages = parts.select("page_id", (F.col("_p") + 1).alias("page"), "text")
     return ex.renumber_pages(pages, ["page_id"]).select("page_id", "new_page", "source_locator", F.md5("text").alias("text_md5"))
 
@@ -175,9 +176,9 @@ def turn_blocks(spark, d):
     turns = c.table(spark, d, "conversations").select(
         F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("int").alias("page"), "role", "text"
     )
-    lines = turns.select("doc", "page", F.posexplode(tx.split_lines(F.col("text"))).alias("n", "line"))
+    lines = tx.explode_once(turns, ["doc", "page"], tx.split_lines(F.col("text")), "line", position="n")
     spoken = lines.withColumn("words", F.filter(F.split("line", " "), lambda w: w != ""))
-    words = spoken.select("doc", "page", "n", F.posexplode("words").alias("i", "word"))
+    words = tx.explode_once(spoken, ["doc", "page", "n"], F.col("words"), "word", position="i")
     first = words.where("n = 0")
     text = lambda *parts: F.concat(*(F.col(p).cast("string") if p in ("n", "i") else F.lit(p) for p in parts))
 

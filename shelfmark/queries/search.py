@@ -142,9 +142,8 @@ WHERE regexp_matches(line_text, '([a-z]+)[.]([0-9]{2})@(mail[0-9])[.]')""",
 def _dialect(spark, d):
     from ..functions import text as tx
 
-    lines = c.table(spark, d, "documents").select(
-        "doc_id", F.posexplode(tx.split_lines(F.col("text"))).alias("_n", "line_text")
-    )
+    docs = c.table(spark, d, "documents")
+    lines = tx.explode_once(docs, ["doc_id"], tx.split_lines(F.col("text")), "line_text", position="_n")
     regex = dialect.python_regex(r"(?P<user>[a-z]+)[.](?P<number>[0-9]{2})@(?P<host>mail[0-9])[.]")
     return lines.where(F.col("line_text").rlike(regex)).select(
         "doc_id", (F.col("_n") + 1).alias("n"), "line_text"

@@ -134,9 +134,10 @@ def extract(
     keep = keep or [c for c in documents.columns if c != "content"]
     schema = T.StructType([*(documents.schema[c] for c in keep), *RESULT])
     kind, path = F.col("content_type"), F.col("path")
-    rest, settled = documents, None
+    rest, settled = documents, None  # settled: answered without Python
     if rungs and rungs[0].name == "text_native":
-        text = tx.decode_text(F.col("content"))
+        documents = documents.withColumn("_text", tx.decode_text(F.col("content")))
+        text = F.col("_text")
         ours = NATIVE.accepts(kind, path)
         ready = F.coalesce(ours & ~tx.is_blank(text) & (F.length(text) >= gate.min_chars), F.lit(False))
         page = F.struct(
@@ -153,7 +154,7 @@ def extract(
         if len(rungs) == 1:
             return documents.select(*decoded)
         settled = documents.where(ready).select(*decoded)
-        rest = documents.where(~ready)
+        rest = documents.where(~ready).drop("_text")
     claimed = F.filter(
         F.array(
             *(F.when(r.accepts(kind, path), F.lit(r.name)) for r in rungs)
