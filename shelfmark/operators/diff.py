@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions import text as tx
+from ..session import cut_lineage
 from .catalog import NAMESPACE, live
 from .text import DOC
 
@@ -35,6 +36,8 @@ def _texts(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFra
         F.col("extraction.status").alias("status"),
         F.coalesce(F.col("extraction.page_count"), F.lit(0)).alias("page_count"),
     )
+    # Written down, so that a small request moves no other document's text.
+    docs = cut_lineage(docs)
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
     text = (
         pages.where(F.col("page").between(1, limits.DIFF_PAGES))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .. import limits
 from ..functions import dialect
 from ..functions import text as tx
+from ..session import cut_lineage, fits_broadcast
 from .bounds import top_per_group
-from .catalog import NAMESPACE, PK, content_type_is
+from .catalog import NAMESPACE, PK, content_type_is, in_namespace
 from .text import DOC, readable_documents
 
 
@@ -66,6 +67,21 @@ def _candidates(entries: DataFrame, path_glob: str, content_type: str | None) ->
     return docs.select(*PK, "entry_id")
 
 
+def _narrowed(
+    entries: DataFrame, pages: DataFrame, path_glob: str, content_type: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """(candidates, pages to scan). A search for some of the documents writes down which
+    ones first: if they are few enough to broadcast, other pages are dropped before any
+    text is searched; if not, all pages are searched where they lie and only hits move."""
+    wanted = _candidates(entries, path_glob, content_type)
+    if path_glob == "*" and not content_type:
+        return wanted, pages
+    wanted = cut_lineage(wanted)
+    if fits_broadcast(wanted):
+        pages = pages.join(wanted.select(*DOC), DOC, "left_semi")
+    return wanted, pages
+
+
 def grep(
     entries: DataFrame,
     pages: DataFrame,
@@ -79,17 +95,19 @@ def grep(
     """All hits of a corpus, at most ``max_matches_per_file`` per document in reading
     order. Nothing is bounded across documents; see ``grep_bounded`` for that."""
     most = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
+    regex = dialect.python_regex(pattern, ignore_case)
+    wanted, pages = _narrowed(entries, pages, path_glob, content_type)
     if dialect.is_literal(pattern):
         # Plain words never span a line end, so one test of the page decides whether
         # it is cut into lines at all.
-        pages = pages.where(F.col("text").rlike(dialect.python_regex(pattern, ignore_case)))
+        pages = pages.where(F.col("text").rlike(regex))
     searched = page_hits(pages, pattern, ignore_case, context_lines, most)
     found = tx.explode_once(searched, [*DOC, "page"], F.col("hits"), "_h").select(*DOC, "page", "_h.*")
     # A document has at most 9,999 pages and each brings ``most`` hits at most; the rank
     # limit is also applied before the shuffle, which then serves the join as well.
     order = Window.partitionBy(*DOC).orderBy("page", "line")
     kept = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
-    return kept.join(_candidates(entries, path_glob, content_type), DOC).select(
+    return kept.join(wanted, DOC).select(
         *PK, "page", "line", "text", "before", "after"
     )
 
@@ -108,8 +126,9 @@ def grep_files(
         hit = F.col("text").rlike(regex)
     else:
         hit = F.exists(tx.split_lines(F.col("text")), lambda l: l.rlike(regex))
+    wanted, pages = _narrowed(entries, pages, path_glob, content_type)
     docs = pages.where(hit).select(*DOC).distinct()
-    return _candidates(entries, path_glob, content_type).join(docs, DOC, "left_semi").select(*PK)
+    return wanted.join(docs, DOC, "left_semi").select(*PK)
 
 
 def grep_bounded(
@@ -125,6 +144,7 @@ def grep_bounded(
     content_type: str | None = None,
     files_with_matches: bool = False,
     byte_budget: int = limits.GREP_BYTES,
+    within: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The budgeted search of each namespace: (matches, summary).
 
@@ -132,8 +152,11 @@ def grep_bounded(
     stops at ``max_matches`` or once ``byte_budget`` bytes of text were read; a
     file stops at its own match bound. The summary has one row per namespace with
     candidates: ``files_searched``, ``truncated`` and ``file_cap_hit``. The budgets
-    are running sums over at most ``max_files`` documents of a namespace.
+    are running sums over at most ``max_files`` documents of a namespace. ``within``
+    names one (tenant, namespace); only its first files' pages are then searched.
     """
+    if within:
+        entries, pages = in_namespace(entries, *within), in_namespace(pages, *within)
     most_files = limits.clamp(max_files, limits.GREP_FILES)
     most = limits.clamp(max_matches, limits.GREP_MATCHES)
     per_file = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
@@ -143,8 +166,11 @@ def grep_bounded(
     picked = top_per_group(everyone, NAMESPACE, ["path"], most_files + 1, rank="_file")
     files = picked.where(F.col("_file") <= most_files)
 
+    if within:
+        # One namespace has at most ``max_files`` rows here, 200 at the very most.
+        pages = pages.join(F.broadcast(files.select(*DOC)), DOC, "left_semi")
     read_rows = (
-        page_hits(pages.join(files.select(*DOC), DOC, "left_semi"), pattern, ignore_case, context_lines, per_file)
+        page_hits(pages, pattern, ignore_case, context_lines, per_file)
         .select(*DOC, "page", F.octet_length("text").cast("long").alias("_bytes"), "hits")
         .join(files.select(*DOC, "path"), DOC)
     )

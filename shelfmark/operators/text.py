@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import limits
 from ..functions import keys
 from ..functions import text as tx
+from ..session import cut_lineage
 from .catalog import PK, extracted_only, live
 
 DOC = ["tenant_id", "namespace", "entry_id"]
@@ -71,7 +72,9 @@ def read_plan(entries: DataFrame, requests: DataFrame) -> DataFrame:
 def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Page ranges of many documents at once. A request without pages to show still
     answers with one row whose ``page`` is null."""
-    plan = read_plan(entries, requests)
+    # The plan is written down before it meets the text: if the requests are few, Spark
+    # sees their true size and broadcasts them, and no page is moved.
+    plan = cut_lineage(read_plan(entries, requests))
     # Own names on the page side: callers may derive requests from the same tables.
     text = pages.select(
         *(F.col(c).alias(f"_{c}") for c in DOC), F.col("page").alias("page"), F.col("text").alias("text")
@@ -138,8 +141,7 @@ def section_ranges(entries: DataFrame, pages: DataFrame, requests: DataFrame) ->
     heading whose title holds the words, to the page where the next heading of the
     same or a higher level starts, or the last page."""
     docs = requests.select(*PK).distinct()
-    wanted_ids = live(entries).join(docs, PK, "left_semi").select(*DOC)
-    heads = outline(entries, pages.join(wanted_ids, DOC, "left_semi"))
+    heads = cut_lineage(outline(entries, pages).join(docs, PK, "left_semi"))
     needle = F.lower(tx.strip(F.col("section")))
     target = (
         requests.join(heads, PK)

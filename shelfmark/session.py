@@ -45,6 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark would broadcast ``df`` by its known size; meant for written tables."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= limit
+
+
 def pin_partitions(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the shared folder with its partitions and their order."""
     spark = df.sparkSession

@@ -45,6 +45,27 @@ def test_grep_bounds(corpus):
         grep.grep(*corpus, "(unclosed")
 
 
+def test_grep_within_one_namespace(make_corpus):
+    here, there = make_corpus(CORPUS), make_corpus({"z.md": ["beta"]}, ns="other")
+    both = [a.unionByName(b) for a, b in zip(here, there)]
+    hits, summary = grep.grep_bounded(*both, "beta", within=("dev", "other"))
+    assert where(hits) == [("z.md", 1, 1)] and summary.count() == 1
+    hits, summary = grep.grep_bounded(*both, "beta", max_files=1)
+    assert where(hits) == [("a.md", 1, 1), ("a.md", 2, 1), ("z.md", 1, 1)]
+    assert values(summary, "namespace", "files_searched", "file_cap_hit") == [("handbook", 1, True), ("other", 1, False)]
+
+
+def test_large_candidate_lists_are_not_broadcast(spark, corpus):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = where(grep.grep(*corpus, "beta", path_glob="*.md"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert where(grep.grep(*corpus, "beta", path_glob="*.md")) == want
+        assert values(grep.grep_files(*corpus, "beta", path_glob="a*"), "path") == [("a.md",)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_grep_context(corpus):
     row = grep.grep(*corpus, "gamma", context_lines=1).first()
     assert (row.before, row.after) == (["alpha beta"], [])
