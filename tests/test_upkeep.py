@@ -266,6 +266,25 @@ def test_quota_replay_against_a_loop(spark, quota, blocks):
     assert report["hot"] == (hot[-1][5], sum(g[4] for g in hot), sum(not g[4] for g in hot))
 
 
+@pytest.mark.parametrize("quota,most", [(10**9, 1), (100, 6)])
+def test_quota_blocks_settle_in_few_rounds(spark, monkeypatch, quota, most):
+    """One principal over sixteen blocks: no refold without rejections, few with them."""
+    rounds = []
+    plain = ledger._Fold
+
+    def counted(limit, starts):
+        rounds.append(len(starts))
+        return plain(limit, starts)
+
+    monkeypatch.setattr(ledger, "_Fold", counted)
+    rng = random.Random(9)
+    data = [("d", "p", n, rng.randint(-40, 60)) for n in range(4000)]
+    df = spark.createDataFrame(data, "tenant_id string, principal_id string, seq long, delta_bytes long")
+    got = sorted(tuple(r) for r in ledger.quota_replay(df, quota, blocks=16).collect())
+    assert got == fold(data, quota)
+    assert len(rounds) - 1 <= most
+
+
 def test_quota_literals(spark):
     df = spark.createDataFrame([("d", "p", 1, 60), ("d", "p", 2, 60), ("d", "p", 3, -10), ("d", "p", 4, 50)],
                                "tenant_id string, principal_id string, seq long, delta_bytes long")
