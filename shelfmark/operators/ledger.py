@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import limits
+from ..session import scratch_path
 from .blocks import BLOCK, with_blocks
 from .bounds import bounded
 
@@ -49,10 +50,10 @@ def scratch_list(state: DataFrame, prefix: str = "", limit: int | None = None) -
 # every block folds on its own from the usage it opens with. Only a block that opens
 # in the middle of a principal's rows needs that usage from its neighbour. Where the
 # block's highest running sum fits under the quota from there, nothing in it can be
-# rejected and its end is a plain sum; otherwise its end is known for the opening it
-# was folded with, and it folds again when the opening turns out to be another one.
-# Once all neighbours agree the answer is the sequential one. The driver holds one
-# small record per block, never rows.
+# rejected and its end is a plain sum. A block that can reject folds once more when its
+# opening has become certain; rounds of that are as many as such blocks follow one
+# another, and a round reads just those blocks. The answer is the sequential one. The
+# driver holds one small record per block, never rows.
 
 
 def admit_run(deltas: np.ndarray, start: int, quota: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,18 +79,18 @@ def admit_run(deltas: np.ndarray, start: int, quota: int) -> tuple[np.ndarray, n
 
 
 class _Fold:
-    """Folds one sorted partition batch by batch, carrying the open principal's usage."""
+    """Folds sorted blocks batch by batch, carrying the open principal's usage."""
 
     def __init__(self, quota: int, starts: dict[int, int]):
         self.quota, self.starts = quota, starts
 
     def batches(self, frames: Iterator[pd.DataFrame]):
         owner, used = None, 0
-        for frame in frames:
-            if frame.empty:
-                continue
-            if owner is None:
-                used = self.starts.get(int(frame[BLOCK].iloc[0]), 0)
+        block = None
+        for frame in (part for whole in frames for _, part in whole.groupby(BLOCK, sort=True)):
+            if block != int(frame[BLOCK].iloc[0]):
+                block = int(frame[BLOCK].iloc[0])
+                used = self.starts.get(block, 0)
                 owner = (frame["tenant_id"].iloc[0], frame["principal_id"].iloc[0])
             same = (frame["tenant_id"] == frame["tenant_id"].shift()) & (
                 frame["principal_id"] == frame["principal_id"].shift()
@@ -111,59 +112,84 @@ class _Fold:
             yield frame.drop(columns=[BLOCK])
 
     def summary(self, frames):
-        """One record: the block's first and last principal, the first one's total and
+        """A record per block: its first and last principal, the first one's total and
         highest running sum at a positive delta, and the last one's closing usage."""
-        first = block = last = None
-        used = total = 0
-        peak = _LOWEST
+        record = None
         for frame, owner, used in self.batches(frames):
-            if first is None:
-                block = int(frame[BLOCK].iloc[0])
+            block = int(frame[BLOCK].iloc[0])
+            if record is None or record[0] != block:
+                if record is not None:
+                    yield pd.DataFrame([record], columns=_FIELDS)
                 first = (frame["tenant_id"].iloc[0], frame["principal_id"].iloc[0])
-            last = owner
-            own = (frame["tenant_id"] == first[0]) & (frame["principal_id"] == first[1])
+                record = [block, *first, *first, 0, _LOWEST, self.starts.get(block, 0), 0]
+            own = (frame["tenant_id"] == record[1]) & (frame["principal_id"] == record[2])
             deltas = frame["delta_bytes"].to_numpy(dtype=np.int64)[own.to_numpy()]
             if len(deltas):
-                sums = total + np.cumsum(deltas)
-                total = int(sums[-1])
+                sums = record[5] + np.cumsum(deltas)
+                record[5] = int(sums[-1])
                 if (deltas > 0).any():
-                    peak = max(peak, int(sums[deltas > 0].max()))
-        if first is not None:
-            yield pd.DataFrame(
-                [(block, *first, *last, total, peak, self.starts.get(block, 0), used)],
-                columns=["block", "first_t", "first_p", "last_t", "last_p", "total", "peak", "opening", "closing"],
-            )
+                    record[6] = max(record[6], int(sums[deltas > 0].max()))
+            record[3], record[4], record[8] = *owner, used
+        if record is not None:
+            yield pd.DataFrame([record], columns=_FIELDS)
 
 
 _LOWEST = -(2**62)
+_FIELDS = ["block", "first_t", "first_p", "last_t", "last_p", "total", "peak", "opening", "closing"]
 _SUMMARY = (
     "block int, first_t string, first_p string, last_t string, last_p string, "
     "total long, peak long, opening long, closing long"
 )
 
 
-def _settled_starts(rows: DataFrame, quota: int) -> dict[int, int]:
-    """The usage every block opens with, once all neighbours agree."""
+def _summaries(rows: DataFrame, quota: int, starts: dict[int, int]) -> dict[int, Row]:
+    found = rows.mapInPandas(_Fold(quota, starts).summary, _SUMMARY).collect()
+    return {r.block: r for r in found}
+
+
+def _openings(known: dict[int, Row], quota: int) -> tuple[dict[int, int], list[int]]:
+    """(certain opening usage per block, blocks that must fold from it again)."""
     starts: dict[int, int] = {}
-    known: dict[int, Row] = {}
-    stale: list[int] | None = None
-    while stale is None or stale:
-        part = rows if stale is None else rows.where(F.col(BLOCK).isin(stale))
-        for r in part.mapInPandas(_Fold(quota, starts).summary, _SUMMARY).collect():
-            known[r.block] = r
-        stale, before, leaving = [], None, 0
-        for block in sorted(known):
-            r = known[block]
-            first, last = (r.first_t, r.first_p), (r.last_t, r.last_p)
-            starts[block] = opening = leaving if first == before else 0
-            if first == last and opening + r.peak <= quota:
-                leaving = opening + r.total
-            else:
-                # Another principal's rows end the block: its usage began at zero here.
-                leaving = r.closing
-                if first == last and opening != r.opening:
-                    stale.append(block)
-            before = last
+    again: list[int] = []
+    before, leaving = None, 0
+    for block in sorted(known):
+        r = known[block]
+        first, last = (r.first_t, r.first_p), (r.last_t, r.last_p)
+        opening = leaving if first == before else 0
+        if opening is not None:
+            starts[block] = opening
+        if first != last:
+            leaving = r.closing  # the last principal's usage began at zero in this block
+        elif opening is None:
+            leaving = None
+        elif opening + r.peak <= quota:
+            leaving = opening + r.total
+        elif opening == r.opening:
+            leaving = r.closing
+        else:
+            again.append(block)
+            leaving = None  # not known before this block has folded
+        before = last
+    return starts, again
+
+
+def _settled_starts(rows: DataFrame, quota: int) -> dict[int, int]:
+    """The usage every block opens with."""
+    known = _summaries(rows, quota, {})
+    starts, again = _openings(known, quota)
+    if not again:
+        return starts
+    # Blocks in the middle of one principal's rows, laid out so that a round can read
+    # only those it needs.
+    inner = [b for b, r in known.items() if (r.first_t, r.first_p) == (r.last_t, r.last_p)]
+    path = scratch_path(rows.sparkSession, "blocks")
+    rows.where(F.col(BLOCK).isin(inner)).write.partitionBy(BLOCK).parquet(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    while again:
+        part = stored.where(F.col(BLOCK).isin(again)).select(rows.columns)
+        ordered = part.repartition(BLOCK).sortWithinPartitions(BLOCK, *OWNER, "seq")
+        known.update(_summaries(ordered, quota, starts))
+        starts, again = _openings(known, quota)
     return starts
 
 

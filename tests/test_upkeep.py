@@ -266,9 +266,10 @@ def test_quota_replay_against_a_loop(spark, quota, blocks):
     assert report["hot"] == (hot[-1][5], sum(g[4] for g in hot), sum(not g[4] for g in hot))
 
 
-@pytest.mark.parametrize("quota,most", [(10**9, 1), (100, 6)])
-def test_quota_blocks_settle_in_few_rounds(spark, monkeypatch, quota, most):
-    """One principal over sixteen blocks: no refold without rejections, few with them."""
+@pytest.mark.parametrize("quota,most", [(10**9, 1), (100, 8)])
+def test_quota_blocks_settle(spark, monkeypatch, quota, most):
+    """One principal over eight blocks: no block folds again without rejections, and a
+    chain of rejecting blocks settles one per round."""
     rounds = []
     plain = ledger._Fold
 
@@ -280,7 +281,7 @@ def test_quota_blocks_settle_in_few_rounds(spark, monkeypatch, quota, most):
     rng = random.Random(9)
     data = [("d", "p", n, rng.randint(-40, 60)) for n in range(4000)]
     df = spark.createDataFrame(data, "tenant_id string, principal_id string, seq long, delta_bytes long")
-    got = sorted(tuple(r) for r in ledger.quota_replay(df, quota, blocks=16).collect())
+    got = sorted(tuple(r) for r in ledger.quota_replay(df, quota, blocks=8).collect())
     assert got == fold(data, quota)
     assert len(rounds) - 1 <= most
 
