@@ -7,8 +7,11 @@ readable or taken down, ``benchmark`` items are rows whose object is gone.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import keys, paths
 from ..functions import text as tx
@@ -25,17 +28,22 @@ SUFFIXES = (".md", ".txt", ".html", ".pdf", ".png")
 TEXT_TABLES = ("documents", "conversations", "pages")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+@lru_cache(maxsize=256)
+def _facts(app: str, path: str) -> tuple[StructType, int]:
+    """Schema and split count of a table, looked up once per session."""
+    rows = SparkSession.active().read.parquet(path)
+    return rows.schema, rows.rdd.getNumPartitions()
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when the files offer fewer splits than there are cores, as a
-    small table in one row group does. A table of many splits is left as it is, so text
-    is never shuffled where it is large; filters and pruning pass through either way."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data directory. A text table whose files offer fewer splits than
+    there are cores, as a small one in a single row group does, is spread over them; one
+    of many splits is left as it is, so text is never shuffled where it is large."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema, splits = _facts(spark.sparkContext.applicationId, path)
+    rows = spark.read.schema(schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXT_TABLES and splits < cores else rows
 
 
 def _pick(number: Column, names: tuple[str, ...]) -> Column:

@@ -159,7 +159,7 @@ SELECT event_type, {STAMP}, CASE WHEN alarm THEN 'ALARM' ELSE 'OK' END AS state
 )
 def _changes(spark, d):
     turns = alarms.alarm_changes(windows(spark, d), "event_type", F.col("stat") > 30, periods=2)
-    return turns.withColumn("period_start", F.date_format(F.to_utc_timestamp("period_start", F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+    return _shown(turns)
 
 
 # --- streams -------------------------------------------------------------------
