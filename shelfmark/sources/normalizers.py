@@ -15,7 +15,7 @@ from ..operators.extraction import CLAIMS, accepts
 from ..schemas import PAGE_TEXT
 
 
-class NormalizationError(Exception):
+class Declined(Exception):
     """A parser declines a document for a stated reason; the next rung is tried."""
 
     def __init__(self, reason: str, detail: str = ""):
@@ -61,9 +61,9 @@ class Gate:
 
 
 def _native(content: bytes, content_type: str, path: str) -> Normalized:
-    text = content.decode("utf-8", errors="replace")
-    if not text.strip():
-        raise NormalizationError("empty_document")
+    text = str(content, "utf-8", "replace")
+    if not text or text.isspace():
+        raise Declined("empty_document")
     return Normalized([(text, "text:1")])
 
 

@@ -12,7 +12,7 @@ from shelfmark.operators import ocr
 from shelfmark.plans import ingest, sync
 from shelfmark.schemas import ENTRIES, OBJECTS, OCR_BLOCKS, SOURCE_ITEMS
 from shelfmark.sinks import history
-from shelfmark.sources.normalizers import NATIVE, Gate, NormalizationError, Normalized, Normalizer, extract
+from shelfmark.sources.normalizers import NATIVE, Declined, Gate, Normalized, Normalizer, extract
 
 NOW = datetime(2026, 6, 14, tzinfo=timezone.utc)
 
@@ -85,7 +85,7 @@ def flaky(content, content_type, path):
     if content == b"boom":
         raise RuntimeError("boom")
     if content == b"no":
-        raise NormalizationError("missing_dependency")
+        raise Declined("missing_dependency")
     return Normalized([(content.decode(), "p:1"), ("two", "p:2")], ocr_used=True, confidence=0.5)
 
 

@@ -204,25 +204,20 @@ def test_tables(make_corpus):
 
 
 def scan_tables(page):
-    """Tables by walking the lines once."""
-    lines, out, i = page.splitlines(), [], 0
+    """Tables as a pattern over line classes: P pipe row and rule, p pipe row, s rule only."""
+    lines = page.splitlines()
 
     def cells(line):
-        return [c.strip() for c in line.strip().strip("|").split("|")]
-
-    def rule(line):
-        return all(re.fullmatch(":?-+:?", c) for c in cells(line) if c)
-
-    while i + 1 < len(lines):
-        if lines[i].strip().startswith("|") and rule(lines[i + 1]):
-            stop = i + 2
-            while stop < len(lines) and lines[stop].strip().startswith("|"):
-                stop += 1
-            out.append((cells(lines[i]), [cells(r) for r in lines[i + 2 : stop]]))
-            i = stop
-        else:
-            i += 1
-    return out
+        return [cell.strip() for cell in re.sub(r"^\|+|\|+$", "", line.strip()).split("|")]
+
+    def letter(line):
+        row = line.lstrip().startswith("|")
+        rule = not any(c and not re.fullmatch(":?-+:?", c) for c in cells(line))
+        return {(True, True): "P", (True, False): "p", (False, True): "s", (False, False): "x"}[row, rule]
+
+    found = re.finditer("[Pp][Ps][Pp]*", "".join(map(letter, lines)))
+    grids = [[cells(line) for line in lines[m.start() : m.end()]] for m in found]
+    return [(grid[0], grid[2:]) for grid in grids]
 
 
 def test_tables_against_a_scan(spark, make_corpus):

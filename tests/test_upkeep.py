@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -162,15 +163,13 @@ def test_pages_of_a_document_that_shrank(spark, make_pages, tmp_path):
 
 
 def unique_names(named):
-    """Names taken one after another, as a reader would."""
-    taken, out = set(), []
-    for n, name in enumerate(named):
-        if name in taken:
-            stem, dot, ext = name.rpartition(".")
-            name = f"{stem}-{n}.{ext}" if dot else f"{name}-{n}"
-        taken.add(name)
-        out.append(name)
-    return out
+    """Names given out in order; a name already given gets its number before the suffix."""
+    given = []
+    for number, name in enumerate(named):
+        if name in given:
+            name = re.sub(r"(?=\.[^.]*$)|$", f"-{number}", name, count=1)
+        given.append(name)
+    return given
 
 
 @pytest.mark.parametrize("seed", range(3))
