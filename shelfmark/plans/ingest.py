@@ -15,7 +15,7 @@ from ..operators.text import DOC, text_checksum_of
 from ..operators.upkeep import originals
 from ..schemas import ENTRIES, EXTRACTION, PAGES, SOURCE_REF
 from ..session import cut_lineage
-from ..sinks.history import append_batch, current_entries, read_history
+from ..sinks.history import BATCH, append_batch, current_entries, read_history
 from ..sinks.tables import upsert_entries, write_pages
 from ..sources.normalizers import NATIVE, Gate, Normalizer, extract
 
@@ -162,12 +162,16 @@ class Store(NamedTuple):
     entries: str
     pages: str
 
-    def current(self, spark: SparkSession) -> DataFrame:
-        return current_entries(read_history(spark, self.entries, ENTRIES))
+    def current(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """Current rows; with ``before``, as they stood before that batch was written."""
+        rows = read_history(spark, self.entries, ENTRIES)
+        return current_entries(rows if before is None else rows.where(F.col(BATCH) < before))
 
 
 def save(result: Ingested, store: Store, batch_id: int, quarantine: str | None = None) -> None:
-    """Write one ingest batch; pages first, so a row never names text that is absent."""
+    """Write one ingest batch; pages first, so a row never names text that is absent. A
+    batch that is made again must start from ``store.current(spark, before=batch_id)``:
+    then it has the same rows and replaces its first attempt exactly."""
     rows = cut_lineage(result.entries)
     write_pages(result.pages, store.pages, batch_id)
     upsert_entries(rows, store.entries, batch_id)

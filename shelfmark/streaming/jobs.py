@@ -64,8 +64,8 @@ def ingest_stream(
             F.lit("not_an_original").alias("error"),
         )
         append_batch(bad.unionByName(stray), quarantine, batch_id)
-        entries = store.current(spark)
         # A batch that runs again must not see its own first attempt.
+        entries = store.current(spark, before=batch_id + 1)
         result = extract_backlog(
             named.where(original), objects(), contents(), entries, now(), rungs, gate
         )

@@ -57,6 +57,28 @@ def test_ingest_stream(spark, tmp_path):
     ]
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The commit of a finished batch is lost, so the stream runs the batch again."""
+    bodies = {f"tenants/dev/ns/{n}": n.encode() for n in ("a.md", "b.md", "c.bin", "d.bin")}
+    stored = spark.createDataFrame([(k, len(b), "t", None, NOW) for k, b in bodies.items()], OBJECTS)
+    contents = spark.createDataFrame([(k, bytearray(b)) for k, b in bodies.items()], "key string, content binary")
+    inbox, store = tmp_path / "in", Store(str(tmp_path / "e"), str(tmp_path / "p"))
+    put(inbox, "1.json", [message(n, key) for n, key in enumerate(bodies)])
+    seen, runs = [], []
+    for _ in range(2):
+        jobs.ingest_stream(
+            jobs.message_stream(spark, str(inbox)), lambda: stored, lambda: contents, store,
+            str(tmp_path / "cp"), str(tmp_path / "q"), lambda: runs.append(1) or NOW,
+        ).awaitTermination()
+        seen.append(values(history.read_history(spark, store.entries, ENTRIES), "path", "extraction.status", "batch_id"))
+        for mark in (tmp_path / "cp" / "commits").iterdir():
+            mark.unlink()
+    assert len(runs) == 2
+    assert seen[0] == seen[1] == [
+        ("a.md", "extracted", 1), ("b.md", "extracted", 1), ("c.bin", "catalog_only", 1), ("d.bin", "catalog_only", 1),
+    ]
+
+
 def test_quota_stream_keeps_its_state(spark, tmp_path):
     rng = random.Random(4)
     rows = [("dev", f"p{rng.randint(0, 3)}", n, rng.randint(-30, 60)) for n in range(200)]
