@@ -100,23 +100,20 @@ def cutoffs(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     aims = cut_lineage(targets(sizes, weights, share, most))
     timed = cut_lineage(_finish_times(sizes, aims, most))
     # The budget runs out in one of many slices of time; rows of that slice alone are ranked.
-    total = aims.agg(F.sum("target").alias("budget"), F.sum("n_docs").alias("n"))
-    slices = timed.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.lit(1)).alias("slices"))
-    setup = total.withColumn("_k", F.lit(1)).join(slices.withColumn("_k", F.lit(1)), "_k").select("_k", "budget", "slices")
-    setup = cut_lineage(setup)
+    budget = aims.agg(F.sum("target")).first()[0] or 0.0
+    slices = max(1, -(-timed.count() // BLOCK_ROWS))
     # finish / (1 + finish) keeps the order and lies below 1.
     squeezed = F.col("finish") / (F.col("finish") + 1)
-    placed = timed.withColumn("_k", F.lit(1)).join(F.broadcast(setup), "_k")  # one row, by its two sums
-    placed = placed.withColumn("slice", F.floor(squeezed * F.col("slices")))
-    sums = placed.groupBy("slice").agg(F.sum("size").alias("slice_size"), F.max("budget").alias("budget"))
+    placed = timed.withColumn("slice", F.floor(squeezed * F.lit(slices)))
+    sums = placed.groupBy("slice").agg(F.sum("size").alias("slice_size"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    sums = cut_lineage(sums.filter(F.col("start") <= F.col("budget")).select("slice", "start", "slice_size"))
+    sums = cut_lineage(sums.filter(F.col("start") <= budget).select("slice", "start", "slice_size"))
     placed = placed.join(sums, "slice")
-    whole = placed.filter(F.col("start") + F.col("slice_size") <= F.col("budget"))
-    split = placed.filter(F.col("start") + F.col("slice_size") > F.col("budget"))
+    whole = placed.filter(F.col("start") + F.col("slice_size") <= budget)
+    split = placed.filter(F.col("start") + F.col("slice_size") > budget)
     reach = F.col("start") + F.sum("size").over(Window.partitionBy("slice").orderBy("finish"))
-    split = split.withColumn("reach", reach).filter(F.col("reach") <= F.col("budget")).drop("reach")
+    split = split.withColumn("reach", reach).filter(F.col("reach") <= budget).drop("reach")
     taken = whole.unionByName(split).groupBy("source", "pass").agg(F.max("key").alias("key"))
     last = taken.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("pass", "key"))).alias("last"))
     last = last.withColumnRenamed("source", "_s")

@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import bpe, fingerprints, langid, minhash, mixing, pivots, secrets, token_files
 from .common import read
 from .sql import MIXING_SQL, SECRETS_SQL
 
 
+def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: shingles of three words, 85 percent shared."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how alike they are."""
+    made = fingerprints.neighbours(read(spark, sf_dir, "documents"))
+
+    @F.pandas_udf("near_edited double, near_next double")
+    def near(own: pd.Series, changed: pd.Series, following: pd.Series) -> pd.DataFrame:
+        like = fingerprints.likeness
+        return pd.DataFrame(
+            {"near_edited": [*map(like, own, changed)], "near_next": [*map(like, own, following)]}, dtype=float
+        )
+
+    digested = made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        near("fingerprint", "edited_fingerprint", "next_fingerprint").alias("near"),
+    )
+    return digested.select("*", "near.*").drop("near")
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of the corpus: base rules first, then the further rules over the same ledger."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,6 +50,32 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written for the whole corpus, and what their frames hold when read back."""
+    docs = read(spark, sf_dir, "documents")
+    held = token_files.read_back(token_files.write(docs, bpe.load(spark)))
+    return held.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op6_bpe_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    tokenizer = bpe.load(spark)
+    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings."""
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
     p = mixing.plan(read(spark, sf_dir, "documents"))
@@ -34,9 +84,22 @@ def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by machines that never saw the held-out rows."""
+    docs = read(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 _OPS = {
+    "op1_setsketch_dedup": (op1_setsketch_dedup, None),
+    "op2_syncmer_fingerprints": (op2_syncmer_fingerprints, None),
     "op3_secret_ledger": (op3_secret_ledger, SECRETS_SQL),
+    "op5_token_files": (op5_token_files, None),
+    "op6_bpe_boundaries": (op6_bpe_boundaries, None),
+    "op7_pivot_permutations": (op7_pivot_permutations, None),
     "op9_weighted_mix": (op9_weighted_mix, MIXING_SQL),
+    "op10_language_families": (op10_language_families, None),
 }
 
 
