@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, minhash, mixing, pivots, secrets, token_files
+from . import bpe, fingerprints, langid, minhash, mixing, pivots, secrets, substring, token_files, toxicity
 from .common import read
 from .sql import MIXING_SQL, SECRETS_SQL
 
@@ -50,6 +50,13 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that start in an earlier one."""
+    found = substring.repeats(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), "kept_sha256")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written for the whole corpus, and what their frames hold when read back."""
     docs = read(spark, sf_dir, "documents")
@@ -76,6 +83,15 @@ def op7_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every text is, by a network that never saw the held-out rows."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    flag = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", flag)
+
+
 def op9_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
     p = mixing.plan(read(spark, sf_dir, "documents"))
@@ -95,9 +111,11 @@ _OPS = {
     "op1_setsketch_dedup": (op1_setsketch_dedup, None),
     "op2_syncmer_fingerprints": (op2_syncmer_fingerprints, None),
     "op3_secret_ledger": (op3_secret_ledger, SECRETS_SQL),
+    "op4_block_anchors": (op4_block_anchors, None),
     "op5_token_files": (op5_token_files, None),
     "op6_bpe_boundaries": (op6_bpe_boundaries, None),
     "op7_pivot_permutations": (op7_pivot_permutations, None),
+    "op8_toxicity_network": (op8_toxicity_network, None),
     "op9_weighted_mix": (op9_weighted_mix, MIXING_SQL),
     "op10_language_families": (op10_language_families, None),
 }
