@@ -187,17 +187,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **columns) -> Model
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays travel, so executors need no copy of these classes.
+    plain = None if model is None else (model.families, model.top, model.within)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def one(text: str | None) -> tuple[str, float]:
+    def one(fitted: Model | None, text: str | None) -> tuple[str, float]:
         x = None if text is None else features(text)
         if x is None:
             return UNKNOWN, 1.0
-        return (UNKNOWN, 0.0) if shared.value is None else shared.value.predict(x)
+        return (UNKNOWN, 0.0) if fitted is None else fitted.predict(x)
 
     def run(it):
-        rows = ((doc, *one(text)) for ids, texts in batches(it, "doc_id", "text") for doc, text in zip(ids, texts))
+        fitted = None if shared.value is None else Model(*shared.value)
+        rows = ((doc, *one(fitted, text)) for ids, texts in batches(it, "doc_id", "text") for doc, text in zip(ids, texts))
         return in_parts(rows, schema)
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -137,9 +137,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Texts stay where they are read."""
     cuts = cutoffs(cut_lineage(sized(docs, seed=seed)), weights, share, most)
-    cuts = cuts.select(F.col("source").alias("_s"), F.col("last").alias("_last"))
-    met = docs.join(cuts, F.col("source").eqNullSafe(F.col("_s")))
-    n = copies(order_key(seed=seed), F.col("_last"))
-    return met.withColumn("_n", n).filter("_n > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")
-    ).drop("_copy")
+    cuts = cuts.select(F.col("source").alias("_mix_source"), F.col("last").alias("_mix_last"))
+    met = docs.join(cuts, F.col("source").eqNullSafe(F.col("_mix_source")))
+    met = met.withColumn("_mix_n", copies(order_key(seed=seed), F.col("_mix_last"))).filter("_mix_n > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_mix_copy")
+    return met.select(*docs.columns, copy).drop("_mix_copy")

@@ -162,3 +162,19 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(versions: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``versions`` with every secret blotted out, and ``n_chars``, if there is one, brought up to date.
+
+    Findings meet texts by content, so every copy of a blob is treated alike.
+    """
+    _, findings, _ = scan(versions, rules, id_col=id_col, text_col=text_col)
+    hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("_hit_blob"), F.col("spans").alias("_hit_spans"))
+    met = versions.join(hit, F.sha2(whole_text(text_col), 256) == F.col("_hit_blob"), "left")
+    clean = F.when(F.col("_hit_spans").isNotNull(), redact(F.col(text_col), F.col("_hit_spans"))).otherwise(F.col(text_col))
+    out = {text_col: clean}
+    if "n_chars" in versions.columns:
+        length = F.length(clean).cast(versions.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("_hit_spans").isNotNull(), length).otherwise(F.col("n_chars"))
+    return met.select(*(out[c].alias(c) if c in out else F.col(c) for c in versions.columns))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import in_parts
 from .common import mix64, rolling
@@ -417,29 +418,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, **column
     return train([t for _, t in rows], [label for label, _ in rows])
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` columns and ``score``; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model[0], model[1].p))
+def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The rows of ``docs`` with a column ``score_col``, in place of one of that name; only the text is looked at."""
+    # Plain arrays travel, so executors need no copy of these classes.
+    plain = None if model is None else (model[0].words, model[0].grams, model[0].prior, model[1].p)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
+    read_as = "_toxicity_text"
 
     def run(it):
         scorer = None
         if shared.value is not None:
             network = Network()
-            odds, network.p = shared.value
-            scorer = Scorer(odds, network)
+            *counts, network.p = shared.value
+            scorer = Scorer(Odds(*counts), network)
         for batch in it:
-            texts = batch.column(batch.schema.get_field_index("_text"))
+            texts = batch.column(batch.schema.get_field_index(read_as))
             scores: list[float] = []
             for start in range(0, len(texts), 500):
                 part = texts[start : start + 500].to_pylist()
                 scores += scorer.scores(part) if scorer else [0.0] * len(part)
-            rest = [n for n in batch.schema.names if n != "_text"]
+            rest = [n for n in batch.schema.names if n != read_as]
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in rest] + [pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, score_col])
 
-    kept = [c for c in docs.columns if c != "score"]
-    held = docs.select(*kept, F.col(text_col).alias("_text"))
-    fields = [f for f in held.schema.fields if f.name != "_text"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return held.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    held = docs.select(*(c for c in docs.columns if c != score_col), F.col(text_col).alias(read_as))
+    fields = [f for f in held.schema.fields if f.name != read_as]
+    return held.mapInArrow(run, StructType([*fields, StructField(score_col, DoubleType())]))
