@@ -63,7 +63,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     filled = F.coalesce(F.sum(F.col("source_size") * most).over(before), F.lit(0))
     t = t.withColumn("level", (F.col("budget") - filled) / F.sum("weight").over(later))
     fits = F.when(F.col("level") <= F.col("full_at"), F.col("level"))
-    t = t.withColumn("level", F.min(fits).over(everything))
+    # Later places leave out ever more of the budget, so the first level that fits is the highest.
+    t = t.withColumn("level", F.max(fits).over(everything))
     target = F.least(F.col("weight") * F.col("level"), (F.lit(most) * F.col("source_size")).cast("double"))
     return t.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
 

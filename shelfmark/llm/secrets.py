@@ -172,9 +172,11 @@ def redacted(versions: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     _, findings, _ = scan(versions, rules, id_col=id_col, text_col=text_col)
     hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("_hit_blob"), F.col("spans").alias("_hit_spans"))
     met = versions.join(hit, F.sha2(whole_text(text_col), 256) == F.col("_hit_blob"), "left")
-    clean = F.when(F.col("_hit_spans").isNotNull(), redact(F.col(text_col), F.col("_hit_spans"))).otherwise(F.col(text_col))
-    out = {text_col: clean}
+    found = F.col("_hit_spans").isNotNull()
+    # The new text gets a name of its own first: a select would take it for the old one inside lambdas.
+    met = met.withColumn("_hit_text", F.when(found, redact(F.col(text_col), F.col("_hit_spans"))).otherwise(F.col(text_col)))
+    out = {text_col: F.col("_hit_text")}
     if "n_chars" in versions.columns:
-        length = F.length(clean).cast(versions.schema["n_chars"].dataType)
-        out["n_chars"] = F.when(F.col("_hit_spans").isNotNull(), length).otherwise(F.col("n_chars"))
+        length = F.length("_hit_text").cast(versions.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(found, length).otherwise(F.col("n_chars"))
     return met.select(*(out[c].alias(c) if c in out else F.col(c) for c in versions.columns))

@@ -60,7 +60,7 @@ levels AS (
   FROM filling),
 aims AS (
   SELECT source, source_size,
-         coalesce(least(weight * min(CASE WHEN level <= full_at THEN level END) OVER (),
+         coalesce(least(weight * max(CASE WHEN level <= full_at THEN level END) OVER (),
                         (2 * source_size)::DOUBLE), 0)::DOUBLE AS target
   FROM levels),
 passes AS (
