@@ -40,7 +40,7 @@ from .common import WordHashes, batches, mix64, rolling, whole_text
 
 BLOCK, WINDOW = 25, 50
 #: Bytes of text handled together by a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Characters of text whose hashes share a bucket, and the least number of buckets.
 BUCKET_CHARS, LEAST_BUCKETS = 16_000_000, 512
 CODE_BITS = 30
