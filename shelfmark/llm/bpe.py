@@ -18,6 +18,7 @@ the input are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, whole_text
 
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 BATCH_BYTES = 8 << 20
 
 
@@ -42,94 +43,191 @@ def load(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
+# The rules under which ``Words`` may cut plain Latin text by itself.
+KNOWN_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Words:
+    """Cuts a stretch without white space into the pre-tokenizer's words, in byte-level letters.
+
+    Most stretches are of Latin letters that normalizing only lowers; for those, and for the rules
+    known here, a compiled pattern does what the file's rules do. All others go through the file's.
+    """
+
+    def __init__(self, tokenizer, spec: dict):
+        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        known = spec.get("normalizer") == KNOWN_NORMALIZER and first.get("pattern") == {"Regex": KNOWN_PATTERN}
+        letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x17F)]]
+        alpha = re.escape("".join(c for c in letters if c.isalpha()))
+        digits = re.escape("".join(c for c in letters if c.isnumeric()))
+        # U+0130 becomes two characters when lowered.
+        self.plain = re.compile(r"[!-~\u00a1-\u012f\u0131-\u017e]+" if known else r"(?!)").fullmatch
+        self.plain_text = re.compile(r"[\x09-\x0d -~\u00a1-\u012f\u0131-\u017e]*" if known else r"(?!)").fullmatch
+        self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{alpha}]+|[{digits}]|[^{alpha}{digits}\\x09-\\x0d ]+").findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: 256 + n for n, b in enumerate(hidden)}
+
+    def __call__(self, text: str) -> list[str]:
+        if self.plain(text):
+            return [self.byte_level(w) for w in self.cut(text.lower())]
+        plain = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(plain) if w]
+
+    def byte_level(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+
+class Merger:
+    """The library's merges over many fragments at once, without its text rules."""
+
+    def __init__(self, model, vocab: dict[str, int], suffix: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer(model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, ident in vocab.items():
+            self.lengths[ident] = len(token.removesuffix(suffix) if suffix else token)
+
+    def __call__(self, fragments: list[str]) -> list[bytes]:
+        """Ids of each fragment; letters are byte-level, so none is white space or unknown."""
+        out: list[bytes] = []
+        for start in range(0, len(fragments), 2000):
+            some = fragments[start : start + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            # Tokens of a fragment are as long together as the fragment.
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(f) for f in some])) + 1
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out
+
+
 class Encoder:
-    """A tokenizer file's BPE, one word at a time."""
+    """A tokenizer file's BPE over stretches of text without white space between words.
 
-    def __init__(self, text: str):
-        from tokenizers import Tokenizer
+    With ``split``, words are cut at every certain boundary and the fragments encoded apart.
+    """
+
+    def __init__(self, text: str, split: bool = True):
+        from tokenizers import Tokenizer, models
 
-        whole = Tokenizer.from_str(text)
-        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         spec = json.loads(text)
+        whole = Tokenizer.from_str(text)
+        self.words = Words(whole, spec)
         model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): n for n, m in enumerate(model["merges"])}
+        suffix = model.get("end_of_word_suffix") or ""
         self.added = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added}
-        # Neighbours that some token holds; all other pairs are certain cuts.
-        self.joined: set[str] = set()
-        for token in self.vocab:
-            body = token.removesuffix(self.suffix) if self.suffix else token
-            self.joined.update(map(str.__add__, body, body[1:]))
         self.fragments: dict[tuple[str, bool], bytes] = {}
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        rank = self.rank
-        while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            pair = (symbols[best], symbols[best + 1])
-            if pair not in rank:
-                break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def fragment(self, body: str, last: bool) -> bytes:
-        known = self.fragments.get(key := (body, last))
-        if known is None:
-            symbols = list(body)
-            if last:
-                symbols[-1] += self.suffix
-            ids = [self.vocab[s] for s in self.merged(symbols) if s in self.vocab]
-            if len(self.fragments) >= KEPT_WORDS:
-                self.fragments.clear()
-            known = self.fragments[key] = np.array(ids, "<u4").tobytes()
-        return known
-
-    def word(self, word: str) -> bytes:
-        """Ids of one word of the pre-tokenizer, cut at every certain boundary."""
+        self.last = Merger(whole.model, model["vocab"], suffix)
+        #: Neighbours that some token holds; all other pairs are certain cuts. None: words are not cut.
+        self.joined: set[str] | None = None
+        if split:
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+            # Fragments inside a word have no end-of-word mark.
+            self.inner = Merger(models.BPE(vocab=model["vocab"], merges=merges), model["vocab"], suffix)
+            self.joined = set()
+            for token in model["vocab"]:
+                body = token.removesuffix(suffix) if suffix else token
+                self.joined.update(map(str.__add__, body, body[1:]))
+
+    def cuts(self, word: str) -> list[tuple[str, bool]]:
+        """The fragments of a word, each with whether it ends the word."""
+        joined = self.joined
+        if joined is None or all(map(joined.__contains__, map(str.__add__, word, word[1:]))):
+            return [(word, True)]
         out, start = [], 0
         for i in range(1, len(word)):
-            if word[i - 1] + word[i] not in self.joined:
-                out.append(self.fragment(word[start:i], False))
+            if word[i - 1] + word[i] not in joined:
+                out.append((word[start:i], False))
                 start = i
-        out.append(self.fragment(word[start:], True))
-        return b"".join(out)
+        return [*out, (word[start:], True)]
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a stretch of text in which white space separates words."""
+    def planned(self, text: str) -> list:
+        """What a stretch is made of: fragments, and ids of added tokens as they stand."""
         at = -1
         for content, number in self.added:
             found = text.find(content)
             if found >= 0 and (at < 0 or found < at):
                 at, which, ident = found, content, number
         if at >= 0:
-            rest = text[at + len(which) :]
-            return self.piece(text[:at]) + np.array([ident], "<u4").tobytes() + (self.piece(rest) if rest else b"")
-        plain = self.normalizer.normalize_str(text) if self.normalizer else text
-        return b"".join(self.word(w) for w, _ in self.pre_tokenizer.pre_tokenize_str(plain) if w)
-
-
-class Kept(dict):
-    """Ids of white-space separated words, kept for those seen."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(word.decode("utf-8", "replace"))
-        return ids
+            head, rest = text[:at], text[at + len(which) :]
+            return (self.planned(head) if head else []) + [ident] + (self.planned(rest) if rest else [])
+        return [f for w in self.words(text) for f in self.cuts(w)]
+
+    def coded(self, plans: list[list]) -> list[bytes]:
+        """Ids of each plan; fragments not met before are encoded together."""
+        if len(self.fragments) >= KEPT_WORDS:
+            self.fragments.clear()
+        fresh = {f for plan in plans for f in plan if not isinstance(f, int)}.difference(self.fragments)
+        for last in (False, True):
+            some = [body for body, end in fresh if end is last]
+            if some:
+                made = (self.last if last else self.inner)(some)
+                self.fragments.update(zip([(body, last) for body in some], made))
+        known = self.fragments
+        return [
+            known[plan[0]] if len(plan) == 1 and not isinstance(plan[0], int)
+            else b"".join([f.to_bytes(4, "little") if isinstance(f, int) else known[f] for f in plan])
+            for plan in plans
+        ]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each stretch of text."""
+        return self.coded([self.planned(t) for t in texts])
+
+    def lowered(self, words: list[str]) -> list[bytes]:
+        """Ids of words that plain text was cut into."""
+        if self.joined is None:
+            return self.last([self.words.byte_level(w) for w in words])
+        return self.coded([self.cuts(self.words.byte_level(w)) for w in words])
+
+
+class Kept:
+    """Ids of words, kept for those seen and emptied when they are many."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+        self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+
+    @staticmethod
+    def _known(kept: dict, lists: list[list[str]], encode) -> None:
+        fresh = set().union(*lists).difference(kept)
+        if kept and len(kept) + len(fresh) > KEPT_WORDS:
+            kept.clear()
+            fresh = set().union(*lists)
+        listed = list(fresh)
+        kept.update(zip(listed, encode(listed)))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts: plain ones cut by one pattern, others between ASCII white space."""
+        words = self.encoder.words
+        plain = [words.plain_text(t) is not None and "<|" not in t for t in texts]
+        cut = [
+            words.cut(t.lower()) if p else [w.decode("utf-8", "replace") for w in t.encode("utf-8", "replace").split()]
+            for t, p in zip(texts, plain)
+        ]
+        self._known(self.words, [c for c, p in zip(cut, plain) if p], self.encoder.lowered)
+        self._known(self.stretches, [c for c, p in zip(cut, plain) if not p], self.encoder.many)
+        known, others = self.words.__getitem__, self.stretches.__getitem__
+        return [b"".join(map(known if p else others, c)) for c, p in zip(cut, plain)]
+
+
+def in_stretches(it, names: tuple[str, str], limit: int = 4 << 20):
+    """(ids, texts) of Arrow batches, a few megabytes of text at a time."""
+    for ids, texts in batches(it, *names):
+        start, size = 0, 0
+        for n, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= limit or n == len(texts):
+                yield ids[start:n], texts[start:n]
+                start, size = n, 0
 
 
 def in_parts(rows, schema: pa.Schema):
@@ -150,12 +248,8 @@ def encode(docs: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(it):
-        kept = Kept(Encoder(tokenizer.value).piece)
-        rows = (
-            (doc, b"".join(map(kept.__getitem__, text.encode("utf-8", "replace").split())))
-            for ids, texts in batches(it, "doc_id", "text")
-            for doc, text in zip(ids, texts)
-        )
+        kept = Kept(Encoder(tokenizer.value))
+        rows = (row for ids, texts in in_stretches(it, ("doc_id", "text")) for row in zip(ids, kept.texts(texts)))
         return in_parts(rows, schema)
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))

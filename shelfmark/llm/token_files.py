@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .bpe import Kept, in_parts
+from .bpe import Encoder, Kept, in_parts, in_stretches
 from .common import batches, whole_text
 
 # Fixed values of the seekable format.
@@ -130,22 +130,18 @@ def write(
 
     def run(it):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         part = TaskContext.get().partitionId()
-        coder = Tokenizer.from_str(tokenizer.value)
-        coder.no_padding()
-        coder.no_truncation()
-        kept = Kept(lambda w: np.array(coder.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        kept = Kept(Encoder(tokenizer.value, split=False))  # whole words go to the library's merges
         out, n_docs, n_ids = None, 0, 0
-        for ids, texts in batches(it, "doc_id", "text"):
+        for ids, texts in in_stretches(it, ("doc_id", "text")):
             if out is None:
                 files, base = open_files(folder)
                 files.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
                 out = Writer(files.open_output_stream(f"{base}/{name}", compression=None))
-            for doc, text in zip(ids, texts):
-                coded = b"".join(map(kept.__getitem__, text.encode("utf-8", "replace").split())) + tail
+            for doc, coded in zip(ids, kept.texts(texts)):
+                coded += tail
                 out.add(doc, coded)
                 n_docs += 1
                 n_ids += len(coded) // 4
