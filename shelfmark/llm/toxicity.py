@@ -407,9 +407,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_co
     known = known.join(F.broadcast(shares), F.col("toxic") == F.col("_toxic"))  # two rows
     known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
     # About 2 * per_label ids are left, so they may go to where the texts are.
-    return docs.join(F.broadcast(known.select("_id", "toxic")), F.col(id_col) == F.col("_id")).select(
-        F.col(text_col).alias("text"), "toxic"
-    )
+    held = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    return held.join(F.broadcast(known.select("_id", "toxic")), F.col("_doc") == F.col("_id")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, **columns):

@@ -27,8 +27,3 @@ def make_docs(spark):
         return df
 
     return build
-
-
-@pytest.fixture(scope="session")
-def docs_001(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

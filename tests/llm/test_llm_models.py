@@ -10,6 +10,7 @@ import check
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from llm_fixtures import make_docs  # noqa: F401
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry

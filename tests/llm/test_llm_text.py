@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import make_docs  # noqa: F401
+
 from shelfmark.llm import fingerprints, minhash, secrets, substring
 from shelfmark.llm import queries as q
 
