@@ -42,6 +42,16 @@ CLAIMS = {
         "prefixes": ["image/"],
         "extensions": [*IMAGE_EXTENSIONS, ".pdf"],
     },
+    "tesseract": {
+        "types": ["application/pdf"],
+        "prefixes": ["image/"],
+        "extensions": [*IMAGE_EXTENSIONS, ".pdf"],
+    },
+    "rapidocr": {
+        "types": ["application/pdf"],
+        "prefixes": ["image/"],
+        "extensions": [*IMAGE_EXTENSIONS, ".pdf"],
+    },
     "llm": {
         "types": ["application/pdf"],
         "prefixes": ["image/"],

@@ -1,7 +1,7 @@
 """Append-only tables on plain Parquet: batches in, current rows out.
 
-A batch is a partition. Writing a batch again replaces just that partition, so a
-job that is run twice leaves the same table. Rows are never changed in place: the
+A batch is a partition. Writing a batch again replaces just that partition and all of
+it, so a job that is run twice leaves the same table. Rows are never changed in place: the
 current row of a key is the one of its highest batch.
 """
 
@@ -20,6 +20,12 @@ BATCH = "batch_id"
 def append_batch(
     df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()
 ) -> None:
+    """Write a batch in place of any earlier attempt at it, of which nothing stays: also
+    not those partitions that the new attempt has no rows for. An attempt that dies
+    between the two steps leaves no batch, and is made again."""
+    spark = df.sparkSession
+    earlier = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}={int(batch_id)}")
+    earlier.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(earlier, True)
     (
         df.withColumn(BATCH, F.lit(int(batch_id)).cast("long"))
         .write.mode("overwrite")

@@ -17,10 +17,10 @@ PARTITIONS = ("tenant_id", "namespace")
 
 
 def write_pages(pages: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Store page text; pages whose number the key scheme cannot name are returned,
-    not written. Rows are rebalanced by namespace, so that a small one becomes one file
+    """Store page text; pages without a number from 0 up are returned, not written. (The
+    bound on page numbers is one of key strings; the table holds all pages.) Rows are rebalanced by namespace, so that a small one becomes one file
     and a hot one is split over many tasks, and ordered by document within a file."""
-    good, bad = admit(pages, {"bad_page": keys.valid_page(F.col("page"))})
+    good, bad = admit(pages, {"bad_page": F.col("page") >= 0})
     shaped = good.select(*(F.col(f.name).cast(f.dataType) for f in PAGES.fields))
     laid_out = shaped.hint("rebalance", *PARTITIONS).sortWithinPartitions(*DOC, "page")
     append_batch(laid_out, path, batch_id, PARTITIONS)

@@ -51,6 +51,9 @@ def test_ladders():
 @pytest.mark.parametrize(
     "rung,kind,path,want",
     [
+        ("tesseract", "image/png", "a", True),
+        ("rapidocr", None, "scan.TIFF", True),
+        ("rapidocr", "text/plain", "a.docx", False),
         ("text_native", "text/csv", "x", True), ("text_native", "application/json", "x", True),
         ("text_native", None, "a/B.MD", True), ("text_native", "image/png", "x.png", False),
         ("pdf", None, "x.PDF", True), ("docx", None, "x.docx", True), ("textract", "image/gif", "x", True),

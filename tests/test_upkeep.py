@@ -158,10 +158,31 @@ def test_pages_of_a_document_that_shrank(spark, make_pages, tmp_path):
     tables.write_pages(make_pages({"a": ["new"]}), path, 2)
     now = history.current_pages(history.read_history(spark, path, PAGES))
     assert values(now, "page", "text") == [(1, "new"), (1, "x")]
-    over = make_pages({"a": ["1"]}).withColumn("page", F.lit(10000))
+    over = make_pages({"a": ["1"]}).withColumn("page", F.lit(-1))
     assert [r.problem for r in tables.write_pages(over, path, 3).collect()] == ["bad_page"]
 
 
+def test_pages_beyond_key_strings_are_stored(spark, make_pages, tmp_path):
+    from shelfmark.schemas import PAGES
+
+    path = str(tmp_path / "pages")
+    long = make_pages({"a": ["text"]}).withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(10_005))))
+    assert tables.write_pages(long, path, 1).count() == 0
+    assert history.read_history(spark, path, PAGES).agg(F.max("page")).first()[0] == 10_005
+
+
+def test_a_replayed_batch_leaves_nothing_of_its_first_attempt(spark, make_pages, tmp_path):
+    from shelfmark.schemas import PAGES
+
+    path = str(tmp_path / "pages")
+    both = make_pages({"a": ["1"]}).unionByName(make_pages({"b": ["2"]}, ns="other"))
+    tables.write_pages(both, path, 1)
+    tables.write_pages(make_pages({"a": ["new"]}), path, 1)
+    assert values(history.read_history(spark, path, PAGES), "namespace", "text") == [("handbook", "new")]
+    tables.write_pages(make_pages({"a": ["1"]}).limit(0), path, 1)
+    assert history.read_history(spark, path, PAGES).count() == 0
+
+
 def unique_names(named):
     """Names given out in order; a name already given gets its number before the suffix."""
     given = []
