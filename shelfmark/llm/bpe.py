@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, whole_text
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 BATCH_BYTES = 8 << 20
 
 

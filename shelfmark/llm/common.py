@@ -69,7 +69,8 @@ def rolling(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def batches(rows, *names: str) -> Iterator[list[list]]:
-    """Columns of Arrow batches as Python lists."""
+    """Columns of Arrow batches as Python lists, at most a thousand rows at a time."""
     for batch in rows:
-        if batch.num_rows:
-            yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
