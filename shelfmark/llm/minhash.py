@@ -120,6 +120,7 @@ def likely(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarra
     """Which pairs of sketches may belong to sets of the wanted similarity.
 
     The likelihood has one peak, so an estimate lies above a bound where the slope there is positive.
+    The test of sizes is the one of the verification, in whole numbers, so a share of exactly ``percent`` passes.
     """
     same = np.empty((len(a), len(b)), np.float64)
     more = np.empty_like(same)
@@ -131,8 +132,8 @@ def likely(a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarra
     bound = max(0.0, t - 5 * np.sqrt(t * (1 - t) / REGISTERS))
     total = sizes_a[:, None] + sizes_b[None, :]
     u, v = sizes_a[:, None] / total, sizes_b[None, :] / total
-    reach = np.minimum(u / v, v / u)
-    return (_slope(bound, more, less, same, u, v) >= 0) & (reach >= t)
+    small, large = np.minimum(sizes_a[:, None], sizes_b[None, :]), np.maximum(sizes_a[:, None], sizes_b[None, :])
+    return (_slope(bound, more, less, same, u, v) >= 0) & (100 * small >= percent * large)
 
 
 def local_roots(linked: np.ndarray) -> np.ndarray:

@@ -79,6 +79,29 @@ def test_small_blocks_find_the_same(make_docs, crowd, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(crowd, 3, 85)
 
 
+def test_contained_texts_at_exactly_the_threshold(make_docs):
+    sizes = [(8, 9), (104, 129), (404, 504)]  # words; 4 of 5, 100 of 125 and 400 of 500 shingles of five
+    rows = []
+    for n, (short, long) in enumerate(sizes):
+        text = [f"p{n}w{i}" for i in range(long)]
+        rows += [(10 * n, " ".join(text[:short])), (10 * n + 1, " ".join(text))]
+        rows += [(10 * n + 2, " ".join(f"x{w}" for w in text)), (10 * n + 3, " ".join(f"x{w}" for w in text[: short - 1]))]
+    found = minhash.near_duplicates(make_docs(*rows), words=5, percent=80).collect()
+    want = brute_components(rows, 5, 80)
+    assert all(want[10 * n + 1] == 10 * n and want[10 * n + 3] == 10 * n + 3 for n in range(len(sizes)))
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_sizes_are_compared_in_whole_numbers():
+    alike = np.zeros((1, minhash.REGISTERS), np.uint16)
+    for percent in (50, 70, 80, 85, 95):
+        for k in range(1, 60):
+            small, large = np.array([float(percent * k)]), np.array([100.0 * k])
+            assert minhash.likely(alike, small, alike, large, percent).all()
+            assert minhash.likely(alike, large, alike, small, percent).all()
+            assert not minhash.likely(alike, small - 1, alike, large, percent).any()
+
+
 def test_near_duplicate_cases(make_docs):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(20, "ONE"), (21, "one"), (None, "one"), (22, "a b c"), (22, "x y z"), (23, "x y z")]
     found = collections.defaultdict(set)
