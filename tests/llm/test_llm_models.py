@@ -370,6 +370,36 @@ def test_language_cases(spark, make_docs):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+CLOSE = {"sv": ["och", "är", "ör", "tt"], "da": ["og", "er", "ør", "ede"], "no": ["og", "er", "ør", "tt"]}
+
+
+def close_texts(n, seed, langs=tuple(CLOSE)):
+    rng = random.Random(seed)
+    made = [(lang, " ".join("".join(rng.choice(CLOSE[lang]) for _ in range(2)) for _ in range(8))) for _ in range(n) for lang in CLOSE]
+    kept = [(lang, t) for lang, t in made if lang in langs]
+    return [t for _, t in kept], [lang for lang, _ in kept]
+
+
+def test_three_close_languages_have_a_machine_for_each_two():
+    texts, langs = close_texts(80, 1)
+    assert max(map(len, texts)) <= 80  # no excerpts are drawn
+    model = langid.fit(texts, langs)
+    [(own, (weights, offsets))] = model.within
+    assert own == ["da", "no", "sv"] and weights.shape == (langid.DIMS, 3)
+    for n, two in enumerate((("da", "no"), ("da", "sv"), ("no", "sv"))):
+        [(_, (alone, at))] = langid.fit(*close_texts(80, 1, two)).within
+        assert np.allclose(weights[:, n], alone[:, 0]) and np.isclose(offsets[n], at[0])
+    held, true = close_texts(60, 2)
+    assert np.mean([model.predict(langid.features(t))[0] == lang for t, lang in zip(held, true)]) > 0.95
+
+
+def test_votes_count_before_margins():
+    at, means = langid.decide(np.array([0.1, -0.5, -0.2]), 3)  # 1 beats 0 and 2 narrowly, 0 beats 2 by far
+    assert at == 1 and np.argmax(means) == 0
+    ring = langid.decide(np.array([0.1, -0.5, 0.3]), 3)  # each beats one other: margins decide
+    assert ring[0] == 0
+
+
 def test_op10_held_out_accuracy(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = q.queries()["op10_language_families"](spark, "/root/testdata/sf0.01").collect()
