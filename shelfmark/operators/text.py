@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import limits
 from ..functions import keys
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import cut_lineage, fits_broadcast
 from .catalog import PK, extracted_only, live
 
 DOC = ["tenant_id", "namespace", "entry_id"]
@@ -94,13 +94,15 @@ def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     )
 
 
-def page_headings(pages: DataFrame, per_page: int) -> DataFrame:
-    """Headings of every page, found inside the row; headings in code fences count."""
+def page_headings(pages: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Headings of every page (the first ``per_page``, or all), found inside the row; headings in code fences count."""
     numbered = F.transform(
         tx.split_lines(F.col("text")),
         lambda l, i: F.when(tx.is_heading(l), F.struct((i + 1).alias("line"), l.alias("raw"))),
     )
-    found = F.slice(F.filter(numbered, lambda h: h.isNotNull()), 1, per_page)
+    found = F.filter(numbered, lambda h: h.isNotNull())
+    if per_page is not None:
+        found = F.slice(found, 1, per_page)
     # A page without a heading mark is dropped before it is cut into lines.
     marked = pages.where(F.contains("text", F.lit("#")))
     return tx.explode_once(marked, [*DOC, "page"], found, "_h").select(
@@ -136,19 +138,35 @@ def outline(entries: DataFrame, pages: DataFrame, max_headings: int | None = Non
     )
 
 
-def section_ranges(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
+def all_headings(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every heading of the requested documents, whatever their number of pages."""
+    docs = readable_documents(entries).join(requests.select(*PK).distinct(), PK, "left_semi")
+    docs = cut_lineage(docs.select(*PK, "entry_id", "page_count"))
+    if fits_broadcast(docs):
+        pages = pages.join(docs.select(*DOC), DOC, "left_semi")
+    return page_headings(pages).join(docs, DOC)
+
+
+def section_ranges(
+    entries: DataFrame, pages: DataFrame, requests: DataFrame, bounded: bool = False
+) -> DataFrame:
     """Requests (tenant_id, namespace, path, section) as page ranges: from the first
     heading whose title holds the words, to the page where the next heading of the
-    same or a higher level starts, or the last page."""
-    docs = requests.select(*PK).distinct()
-    heads = cut_lineage(outline(entries, pages).join(docs, PK, "left_semi"))
+    same or a higher level starts, or the last page. All headings are looked at, or
+    if ``bounded`` those of the outline only."""
+    if bounded:
+        docs = requests.select(*PK).distinct()
+        heads = outline(entries, pages).join(docs, PK, "left_semi").withColumn("_order", F.struct("ordinal"))
+    else:
+        heads = all_headings(entries, pages, requests).withColumn("_order", F.struct("page", "line"))
+    heads = cut_lineage(heads.select(*PK, "page", "level", "title", "page_count", "_order"))
     needle = F.lower(tx.strip(F.col("section")))
     target = (
         requests.join(heads, PK)
         .where(F.contains(F.lower("title"), needle))
         .groupBy(*PK, "section")
         .agg(
-            F.min_by(F.struct("page", "level", "page_count"), "ordinal").alias("_t"),
+            F.min_by(F.struct("page", "level", "page_count"), "_order").alias("_t"),
         )
         .select(
             *PK,

@@ -176,6 +176,25 @@ def test_read_section(spark, guide):
     ]
 
 
+def test_sections_behind_the_outline(spark, make_corpus):
+    long = ["# Start"] + ["text"] * 53 + ["## Late\nx"] + ["text"] * 2 + ["## After"] + ["text"] * 2
+    dense = ["\n".join(f"## h{i}" for i in range(400)), "# Last\ny", "z"]
+    corpus = make_corpus({"long.md": long, "dense.md": dense})
+    asked = ask(
+        spark, ("long.md", "late"), ("long.md", "after"), ("long.md", "start"), ("dense.md", "h399"), ("dense.md", "last"),
+        schema="path string, section string",
+    )
+    got = values(text.section_ranges(*corpus, asked), "path", "section", "start_page", "end_page")
+    assert sorted(got) == [
+        ("dense.md", "h399", 1, 2), ("dense.md", "last", 2, 3),
+        ("long.md", "after", 58, 60), ("long.md", "late", 55, 58), ("long.md", "start", 1, 60),
+    ]
+    read = values(text.read_section(*corpus, asked.where("section = 'late'")), "page", "error")
+    assert read == [(55, None), (56, None), (57, None), (58, None)]
+    cut = values(text.section_ranges(*corpus, asked, bounded=True), "path", "section", "start_page")
+    assert ("long.md", "late", None) in cut and ("long.md", "start", 1) in cut
+
+
 def test_read_ranges(spark, make_corpus):
     corpus = make_corpus({"long.md": [f"p{i}" for i in range(1, 31)], "leave.pdf": None})
     asked = ask(
