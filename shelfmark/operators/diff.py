@@ -1,8 +1,9 @@
 """Differences between pairs of documents, for a table of pairs.
 
-Requests are (tenant_id, namespace, path_a, path_b). Only the requested documents'
-first twenty pages are gathered; twenty pages is a fixed bound, so a document's
-text is one small row.
+Requests are (tenant_id, namespace, path_a, path_b). A unified diff gathers the first
+twenty pages of the requested documents; twenty pages is a fixed bound, so a document's
+text is one small row. Compared as multisets of lines, documents are never gathered
+and all their pages count.
 """
 
 from __future__ import annotations
@@ -118,18 +119,33 @@ def diff(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     return worked.unionByName(plain)
 
 
+def _sides(entries: DataFrame, text: DataFrame, requests: DataFrame) -> DataFrame:
+    """Both documents of every pair that can be read: (pair, document, _sign, _last page)."""
+    asked = requests.select(*PAIR).where(F.col("path_a") != F.col("path_b")).distinct()
+    sides = F.array(
+        F.struct(F.col("path_a").alias("path"), F.lit(-1).alias("_sign")),
+        F.struct(F.col("path_b").alias("path"), F.lit(1).alias("_sign")),
+    )
+    asked = asked.select(*PAIR, F.explode(sides).alias("_s")).select(*PAIR, "_s.*")
+    docs = live(entries).where(F.col("extraction.status") == "extracted").select(*NAMESPACE, "path", "entry_id")
+    found = cut_lineage(asked.join(docs, [*NAMESPACE, "path"]))
+    both = found.groupBy(*PAIR).agg(F.count_distinct("_sign").alias("_n")).where(F.col("_n") == 2).select(*PAIR)
+    wanted = found.select(*DOC).distinct()
+    last = text.join(wanted, DOC, "left_semi").groupBy(*DOC).agg(F.max("page").alias("_last"))
+    return found.join(both, PAIR, "left_semi").join(last, DOC).select(*PAIR, "entry_id", "_sign", "_last")
+
+
 def diff_lines(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Lines that a pair does not share, as multisets: ``removed`` and ``added`` counts
-    per distinct line. Fully native, with partial sums before the shuffle."""
-    pairs = paired(entries, pages, requests).where(F.col("error").isNull())
-    signed = F.concat(
-        F.transform(tx.split_lines(F.col("text_a")), lambda l: F.struct(l.alias("line"), F.lit(-1).alias("n"))),
-        F.transform(tx.split_lines(F.col("text_b")), lambda l: F.struct(l.alias("line"), F.lit(1).alias("n"))),
-    )
+    per distinct line, over all pages. Fully native, with partial sums before the shuffle."""
+    text = pages.where((F.col("page") >= 1) & F.col("text").isNotNull()).select(*DOC, "page", "text")
+    sides = cut_lineage(_sides(entries, text, requests))
+    # Pages are joined by newlines: one that ends a line opens an empty one, unless it is the last.
+    whole = F.when(F.col("page") < F.col("_last"), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
     return (
-        tx.explode_once(pairs.where(F.col("text_a") != F.col("text_b")), PAIR, signed, "_l")
-        .groupBy(*PAIR, F.col("_l.line").alias("line"))
-        .agg(F.sum("_l.n").alias("_net"))
+        tx.explode_once(text.join(sides, DOC), [*PAIR, "_sign"], tx.split_lines(whole), "line")
+        .groupBy(*PAIR, "line")
+        .agg(F.sum("_sign").alias("_net"))
         .where(F.col("_net") != 0)
         .select(
             *PAIR,

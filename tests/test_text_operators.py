@@ -272,6 +272,23 @@ def test_diff(spark, make_corpus):
     assert changed == [("line TWO changed", 0, 1), ("line two", 1, 0)]
 
 
+def test_diff_lines_of_all_pages(spark, make_corpus):
+    same = [f"same {i}" for i in range(25)]
+    texts = {
+        "p.md": same, "q.md": same[:22] + ["other", "other"] + same[24:], "one.md": ["\n".join(same)],
+        "ends.md": ["a\n", "b\n"], "flat.md": ["a\n\nb"], "empty.md": [""], "leave.pdf": None,
+    }
+    asked = ask(
+        spark, ("p.md", "q.md"), ("p.md", "q.md"), ("p.md", "one.md"), ("p.md", "p.md"), ("ends.md", "flat.md"),
+        ("empty.md", "flat.md"), ("p.md", "leave.pdf"), schema="path_a string, path_b string",
+    )
+    got = values(diff.diff_lines(*make_corpus(texts), asked), "path_a", "path_b", "line", "removed", "added")
+    assert sorted(got) == [
+        ("empty.md", "flat.md", "", 0, 1), ("empty.md", "flat.md", "a", 0, 1), ("empty.md", "flat.md", "b", 0, 1),
+        ("p.md", "q.md", "other", 0, 2), ("p.md", "q.md", "same 22", 1, 0), ("p.md", "q.md", "same 23", 1, 0),
+    ]
+
+
 def test_diff_bounds(spark, make_corpus):
     corpus = make_corpus({
         "a.md": ["\n".join(f"a{i}" for i in range(600))], "b.md": ["\n".join(f"b{i}" for i in range(600))],
