@@ -23,24 +23,28 @@ def page_hits(
     pattern: str,
     ignore_case: bool = True,
     context_lines: int = 0,
-    per_page: int = limits.GREP_MATCHES_PER_FILE,
+    per_page: int | None = None,
+    line_chars: int | None = limits.GREP_LINE_CHARS,
 ) -> DataFrame:
-    """Pages with ``hits``: an array of (line, text, before, after), first ``per_page``."""
+    """Pages with ``hits``: an array of (line, text, before, after), all or the first ``per_page``."""
     regex = dialect.python_regex(pattern, ignore_case)
-    around = min(max(0, context_lines), limits.GREP_CONTEXT_LINES)
+    around = max(0, context_lines)
     at = F.filter(
         F.transform(F.col("_lines"), lambda l, i: F.when(l.rlike(regex), i)),
         lambda i: i.isNotNull(),
     )
 
+    def shown(line):
+        return line if line_chars is None else tx.truncate(line, line_chars)
+
     def context(start, length):
         part = F.slice(F.col("_lines"), start, length)
-        return F.transform(part, lambda l: tx.truncate(l))
+        return part if line_chars is None else F.transform(part, shown)
 
     def hit(i):
         fields = [
             (i + 1).alias("line"),
-            tx.truncate(F.get(F.col("_lines"), i)).alias("text"),
+            shown(F.get(F.col("_lines"), i)).alias("text"),
         ]
         if around:
             fields.append(
@@ -54,7 +58,7 @@ def page_hits(
 
     return (
         pages.withColumn("_lines", tx.split_lines(F.col("text")))
-        .withColumn("_at", F.slice(at, 1, per_page))
+        .withColumn("_at", at if per_page is None else F.slice(at, 1, per_page))
         .withColumn("hits", F.transform("_at", hit))
         .drop("_lines", "_at")
     )
@@ -91,23 +95,27 @@ def grep(
     context_lines: int = 0,
     max_matches_per_file: int | None = None,
     content_type: str | None = None,
+    line_chars: int | None = limits.GREP_LINE_CHARS,
 ) -> DataFrame:
-    """All hits of a corpus, at most ``max_matches_per_file`` per document in reading
-    order. Nothing is bounded across documents; see ``grep_bounded`` for that."""
-    most = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
+    """All hits of a corpus with as many lines around them as asked for. Only a caller's
+    ``max_matches_per_file`` keeps the first of each document in reading order. Lines show
+    their first ``line_chars`` characters, or if that is None all. Nothing is bounded
+    across documents; see ``grep_bounded`` for that."""
+    most = None if max_matches_per_file is None else max(1, int(max_matches_per_file))
     regex = dialect.python_regex(pattern, ignore_case)
     wanted, pages = _narrowed(entries, pages, path_glob, content_type)
     if dialect.is_literal(pattern):
         # Plain words never span a line end, so one test of the page decides whether
         # it is cut into lines at all.
         pages = pages.where(F.col("text").rlike(regex))
-    searched = page_hits(pages, pattern, ignore_case, context_lines, most)
+    searched = page_hits(pages, pattern, ignore_case, context_lines, most, line_chars)
     found = tx.explode_once(searched, [*DOC, "page"], F.col("hits"), "_h").select(*DOC, "page", "_h.*")
-    # A document has at most 9,999 pages and each brings ``most`` hits at most; the rank
-    # limit is also applied before the shuffle, which then serves the join as well.
-    order = Window.partitionBy(*DOC).orderBy("page", "line")
-    kept = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
-    return kept.join(wanted, DOC).select(
+    if most is not None:
+        # Each page brings ``most`` hits at most; the rank limit is also applied before
+        # the shuffle, which then serves the join as well.
+        order = Window.partitionBy(*DOC).orderBy("page", "line")
+        found = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    return found.join(wanted, DOC).select(
         *PK, "page", "line", "text", "before", "after"
     )
 
@@ -157,6 +165,7 @@ def grep_bounded(
     """
     if within:
         entries, pages = in_namespace(entries, *within), in_namespace(pages, *within)
+    around = min(context_lines, limits.GREP_CONTEXT_LINES)
     most_files = limits.clamp(max_files, limits.GREP_FILES)
     most = limits.clamp(max_matches, limits.GREP_MATCHES)
     per_file = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
@@ -170,7 +179,7 @@ def grep_bounded(
         # One namespace has at most ``max_files`` rows here, 200 at the very most.
         pages = pages.join(F.broadcast(files.select(*DOC)), DOC, "left_semi")
     read_rows = (
-        page_hits(pages, pattern, ignore_case, context_lines, per_file)
+        page_hits(pages, pattern, ignore_case, around, per_file)
         .select(*DOC, "page", F.octet_length("text").cast("long").alias("_bytes"), "hits")
         .join(files.select(*DOC, "path"), DOC)
     )

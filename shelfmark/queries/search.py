@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import limits
 from ..functions import dialect
 from ..operators import grep
 from . import corpus as c
@@ -42,7 +43,10 @@ FROM hits h WHERE rk <= 10"""
 
 @queries.add("grep_context", CONTEXT_SQL)
 def _context(spark, d):
-    found = grep.grep(c.entries(spark, d), c.pages(spark, d), "stion the|de la", context_lines=2)
+    most = limits.GREP_MATCHES_PER_FILE
+    found = grep.grep(
+        c.entries(spark, d), c.pages(spark, d), "stion the|de la", context_lines=2, max_matches_per_file=most
+    )
     return found.select(
         "tenant_id", "namespace", "path", "page", "line", "text",
         F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"),
@@ -55,7 +59,20 @@ def _context(spark, d):
 SELECT tenant_id, namespace, path, page, line, substr(line_text, 1, 300) AS text FROM hits WHERE rk <= 10""",
 )
 def _literal(spark, d):
-    found = grep.grep(c.entries(spark, d), c.pages(spark, d), "license", content_type="text/")
+    most = limits.GREP_MATCHES_PER_FILE
+    found = grep.grep(
+        c.entries(spark, d), c.pages(spark, d), "license", content_type="text/", max_matches_per_file=most
+    )
+    return found.select("tenant_id", "namespace", "path", "page", "line", "text")
+
+
+@queries.add(
+    "grep_all",
+    hits("th[ae]t? [a-z]+ing") + """
+SELECT tenant_id, namespace, path, page, line, line_text AS text FROM hits""",
+)
+def _all(spark, d):
+    found = grep.grep(c.entries(spark, d), c.pages(spark, d), r"th[ae]t? [a-z]+ing", line_chars=None)
     return found.select("tenant_id", "namespace", "path", "page", "line", "text")
 
 

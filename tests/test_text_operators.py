@@ -84,6 +84,16 @@ def test_long_lines_are_cut(make_corpus):
     assert row.text == "é" * limits.GREP_LINE_CHARS
 
 
+def test_all_hits_whole(make_corpus):
+    lines = [f"hit {i}" for i in range(30)] + ["hit " + "é" * 400]
+    corpus = make_corpus({"x.md": ["\n".join(lines), "hit on two"]})
+    assert sorted(where(grep.grep(*corpus, "hit"))) == [("x.md", 1, i + 1) for i in range(31)] + [("x.md", 2, 1)]
+    assert len(where(grep.grep(*corpus, "hit", max_matches_per_file=25))) == 25
+    rows = {(r.page, r.line): r for r in grep.grep(*corpus, "hit", context_lines=8, line_chars=None).collect()}
+    assert rows[1, 31].text == lines[30] and rows[1, 20].before == lines[11:19] and rows[1, 25].after == lines[25:]
+    assert len(grep.grep_bounded(*corpus, "hit", context_lines=8)[0].orderBy("line").collect()[-1].before) == 5
+
+
 def walk(texts, pattern, max_files, max_matches, per_file, budget, files_only):
     """The budgets as one reader would apply them, document after document."""
     rx = re.compile(pattern, re.I)
