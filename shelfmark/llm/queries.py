@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, minhash, mixing, pivots, secrets, substring, token_files, toxicity
+from . import (
+    audit, bpe, fingerprints, langid, minhash, mixing, pieces, pivots, prefix_trie, secrets, substring, token_files, toxicity,
+)
 from .common import read
-from .sql import MIXING_SQL, SECRETS_SQL
+from .sql import AUDIT_SQL, MIXING_SQL, SECRETS_SQL, TRIE_SQL
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +109,31 @@ def op10_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as pieces with their source bytes, and decoded again."""
+    model = pieces.load(spark)
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model), model)
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda n, x: n + x)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        covered.alias("n_bytes_covered"),
+    )
+
+
+def op12_prefix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that share first turns."""
+    return prefix_trie.nodes(read(spark, sf_dir, "conversations"))
+
+
+def op13_radix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, keeps and costs in all orders, for each language."""
+    failed = audit.failures(read(spark, sf_dir, "documents"))
+    return audit.interactions(failed, read(spark, sf_dir, "labels"))
+
+
 _OPS = {
     "op1_setsketch_dedup": (op1_setsketch_dedup, None),
     "op2_syncmer_fingerprints": (op2_syncmer_fingerprints, None),
@@ -118,6 +145,9 @@ _OPS = {
     "op8_toxicity_network": (op8_toxicity_network, None),
     "op9_weighted_mix": (op9_weighted_mix, MIXING_SQL),
     "op10_language_families": (op10_language_families, None),
+    "op11_piece_spans": (op11_piece_spans, None),
+    "op12_prefix_slots": (op12_prefix_slots, TRIE_SQL),
+    "op13_radix_audit": (op13_radix_audit, AUDIT_SQL),
 }
 
 

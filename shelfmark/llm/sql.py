@@ -77,3 +77,79 @@ SELECT s.doc_id, s.size, a.source_size, a.target,
        CAST(s.size * (SELECT count(*) FROM last l WHERE l.source IS NOT DISTINCT FROM s.source AND s.key <= l.key)
             AS BIGINT) AS taken
 FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source"""
+
+
+# CRC-32 bit by bit over the decimal digits of an id, as unsigned.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+
+TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32]) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS size,
+         string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+keyed AS (SELECT conv_id, depth, size, md5(path) AS node FROM steps),
+n AS (SELECT node, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs
+      FROM keyed GROUP BY node),
+up AS (SELECT n.node, k.node AS above FROM n JOIN keyed k ON k.conv_id = n.conv_id AND k.depth <= n.depth),
+parents AS (SELECT n.node, p.node AS parent, p.conv_id AS parent_conv_id
+            FROM n JOIN keyed k ON k.conv_id = n.conv_id AND k.depth = n.depth - 1 JOIN n p ON p.node = k.node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent),
+sums AS (
+  SELECT up.above AS node, count(*) FILTER (children.node IS NULL) AS n_leaves,
+         CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens
+  FROM up JOIN n ON n.node = up.node LEFT JOIN children ON children.node = up.node GROUP BY up.above),
+ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) AS back FROM keyed) WHERE back = 1 GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (node) LEFT JOIN children USING (node) LEFT JOIN parents USING (node) LEFT JOIN ends USING (node)"""
+
+AUDIT_SQL = r"""
+WITH marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+          'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS f
+  FROM texts LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, good, toxic, count(*) AS n,
+         concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+                CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS failed
+  FROM fails GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT m.*, filter_order, step, filter_order[step:step] AS x,
+         len(list_filter(string_split(filter_order[1:step - 1], ''), lambda c: c <> '' AND contains(failed, c))) > 0 AS gone
+  FROM masks m, orders, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+counted AS (SELECT *, contains(failed, x) AS bad FROM steps)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (gone AND bad), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (failed = x), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(n) FILTER (NOT gone AND bad AND good), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(n) FILTER (NOT gone AND bad AND toxic), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(len(failed), 1))) FILTER (bad), 0) AS BIGINT) AS shapley
+FROM counted GROUP BY part, filter_order, step"""
