@@ -175,7 +175,9 @@ class Model:
         self.merges = sentencepiece.SentencePieceProcessor(model_proto=blob + bytes([NORMALIZER << 3 | 2, len(off)]) + off)
         self.end_id = self.library.eos_id()
         self.kept: dict[str, bytes] = {}
-        self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        # A line end that stands in no piece with another character is a run of its own.
+        alone = "" if any("\n" in p for p in plain) else "\n"
+        self.runs = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|\n").findall
 
     def stretches(self, text: str) -> Iterator[str]:
         """Parts of a text that can be encoded one after the other; each but the first starts with a blank."""
@@ -273,8 +275,9 @@ def decode(encoded: DataFrame, model) -> DataFrame:
         for batch in it:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                ids = part.column(part.schema.get_field_index("ids")).to_pylist()
-                texts = [library.decode(x) if x else "" for x in ids]
+                lists = part.column(part.schema.get_field_index("ids"))
+                ids, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                texts = [library.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(bounds, bounds[1:])]
                 kept = [part.column(part.schema.get_field_index(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*names, "text"])
 
