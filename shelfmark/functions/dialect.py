@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import java_regex
+
 _WILDCARDS = "*?["
 
 
@@ -82,14 +84,7 @@ def matches_glob(path: Column, pattern: str) -> Column:
 
 def python_regex(pattern: str, ignore_case: bool = False) -> str:
     """A Python ``re`` pattern as a Java one. Raises ``ValueError`` when invalid."""
-    try:
-        re.compile(pattern)
-    except re.error as err:
-        raise ValueError(f"invalid regex: {err}") from err
-    body = re.sub(r"\(\?P<([A-Za-z_]\w*)>", r"(?<\1>", pattern)
-    body = re.sub(r"\(\?P=([A-Za-z_]\w*)\)", r"\\k<\1>", body)
-    body = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", body)
-    return ("(?iuU)" if ignore_case else "(?U)") + body
+    return java_regex(pattern, ignore_case)
 
 
 def is_literal(pattern: str) -> bool:

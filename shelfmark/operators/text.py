@@ -73,25 +73,20 @@ def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     """Page ranges of many documents at once. A request without pages to show still
     answers with one row whose ``page`` is null."""
     # The plan is written down before it meets the text: if the requests are few, Spark
-    # sees their true size and broadcasts them, and no page is moved.
+    # sees their true size and broadcasts them, and no page is moved. Which requests have
+    # no page to show is found from the key columns alone.
     plan = cut_lineage(read_plan(entries, requests))
     # Own names on the page side: callers may derive requests from the same tables.
-    text = pages.select(
-        *(F.col(c).alias(f"_{c}") for c in DOC), F.col("page").alias("page"), F.col("text").alias("text")
-    )
+    text = pages.select(*(F.col(c).alias(f"_{c}") for c in DOC), F.col("page").alias("page"), F.col("text").alias("text"))
+    held = text.drop("text")
     in_range = F.col("error").isNull() & F.col("page").between(F.col("range_start"), F.col("_stop"))
     for c in DOC:
         in_range = in_range & (F.col(c) == F.col(f"_{c}"))
-    return plan.join(text, in_range, "left").select(
-        *requests.columns,
-        "page",
-        "text",
-        "page_count",
-        "range_start",
-        "range_end",
-        "truncated",
-        "error",
-    )
+    answer = [*requests.columns, "page", "text", "page_count", "range_start", "range_end", "truncated", "error"]
+    shown = plan.join(text, in_range).select(*answer)
+    unanswered = plan.join(held, in_range, "left_anti")
+    nothing = [F.lit(None).cast(shown.schema[c].dataType).alias(c) for c in ("page", "text")]
+    return shown.unionByName(unanswered.select(*(c for c in answer if c not in ("page", "text")), *nothing))
 
 
 def page_headings(pages: DataFrame, per_page: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Query
 
-_MODULES = ("navigation", "search", "upkeep", "extraction", "usage", "jobs")
+_MODULES = ("navigation", "search", "lookup", "upkeep", "extraction", "usage", "jobs")
 
 
 def registered() -> dict[str, Query]:

@@ -124,6 +124,23 @@ def _history_entries(spark, d):
     return live.join(writes, PK)
 
 
+@queries.add(
+    "history_replayed",
+    c.with_views(c.ENTRIES) + """
+SELECT tenant_id, namespace, path, size + 1 AS size, 5 AS batch_id FROM entries WHERE NOT deleted""",
+)
+def _history_replayed(spark, d):
+    """A batch of all rows; an attempt to write it again that dies; then one that ends and leaves out dead rows."""
+    path = scratch_path(spark, "entries")
+    entries = c.entries(spark, d)
+    tables.upsert_entries(entries, path, 5)
+    history.write_attempt(entries.where("namespace = 'de'"), path, 5)
+    again = history.read_history(spark, path, ENTRIES).where("deleted_at IS NULL").drop("batch_id")
+    tables.upsert_entries(again.withColumn("size", F.col("size") + 1), path, 5)
+    stored = history.read_history(spark, path, ENTRIES)
+    return stored.select(*PK, "size", F.col("batch_id").cast("int").alias("batch_id"))
+
+
 @queries.add(
     "history_pages",
     c.with_views(c.ENTRIES, c.LINES, c.PAGES) + """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,10 @@ from pyspark.sql import types as T
 from .. import limits
 from ..functions import paths
 from ..operators.bounds import page_after
+from ..session import cut_lineage
+
+
+_GLOB = re.compile(r"[\\*?\[\]{}]")
 
 
 def _binary(spark: SparkSession, root: str, pattern: str | None) -> DataFrame:
@@ -45,9 +52,16 @@ def scan_tree(spark: SparkSession, root: str, pattern: str | None = None) -> Dat
 
 
 def fetch_tree(spark: SparkSession, root: str, items: DataFrame) -> DataFrame:
-    """(path, content) of chosen items of ``scan_tree``."""
-    files = _binary(spark, root, None).select(F.col("path").alias("locator"), "content")
-    return files.join(items.select("path", "locator"), "locator").select("path", "content")
+    """(path, content) of chosen items of ``scan_tree``. Only their files are opened: the reader
+    is given their names, of which the driver holds one each, as it does for any listing."""
+    chosen = cut_lineage(items.select("path", "locator"))
+    names = [r[0] for r in chosen.select("locator").distinct().collect()]
+    if not names:
+        return chosen.select("path", F.lit(None).cast("binary").alias("content"))
+    # A name may hold glob characters, which the reader would expand.
+    plain = [_GLOB.sub(r"\\\g<0>", unquote(n)) for n in names]
+    files = spark.read.format("binaryFile").load(plain).select(F.col("path").alias("locator"), "content")
+    return files.join(chosen, "locator").select("path", "content")
 
 
 def scan_prefix(objects: DataFrame, prefix: str = "") -> DataFrame:
@@ -86,15 +100,21 @@ def stat_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:
 
 def read_objects(contents: DataFrame, requests: DataFrame) -> DataFrame:
     """Bytes of requested keys (key[, start, end]); the range is inclusive and an open
-    end reads to the last byte."""
+    end reads to the last byte. Unknown keys have null content.
+
+    The requests are written down first: few of them are broadcast by their true size and no
+    bytes are moved but those asked for. With a key index of a stored table
+    (``operators.lookup``), ``contents`` can be the rows of the files that may hold a key.
+    """
     for name in ("start", "end"):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast("int"))
+    requests = cut_lineage(requests)
     start = F.coalesce(F.col("start"), F.lit(0)).cast("int")
     length = F.coalesce(F.col("end") - start + 1, F.lit(2**31 - 1)).cast("int")
-    return requests.join(contents, "key", "left").withColumn(
-        "content", F.substring(F.col("content"), start + 1, length)
-    )
+    found = requests.join(contents, "key").withColumn("content", F.substring(F.col("content"), start + 1, length))
+    unknown = requests.join(contents.select("key"), "key", "left_anti")
+    return found.unionByName(unknown, allowMissingColumns=True)
 
 
 def stored_objects(spark: SparkSession, root: str) -> DataFrame:

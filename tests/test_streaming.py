@@ -7,10 +7,11 @@ from datetime import datetime, timezone
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.operators import alarms, ledger
 from shelfmark.plans.ingest import Store
-from shelfmark.schemas import CHANGES, ENTRIES, OBJECTS
+from shelfmark.schemas import CHANGES, ENTRIES, MESSAGES, OBJECTS
 from shelfmark.sinks import history
 from shelfmark.sources.connector import Item, register_source, scan_connector
 from shelfmark.streaming import jobs
@@ -51,7 +52,7 @@ def test_ingest_stream(spark, tmp_path):
     assert values(store.current(spark), "path") == [("a b.md",), ("c.md",)]
     # The redelivered key was done already and wrote no second row.
     assert history.read_history(spark, store.entries, ENTRIES).where("path = 'a b.md'").count() == 1
-    dead = spark.read.parquet(quarantine)
+    dead = history.read_history(spark, quarantine, T.StructType([*MESSAGES.fields, T.StructField("error", T.StringType())]))
     assert values(dead, "message_id", "error") == [
         ("3", "not_an_original"), ("4", "malformed"), ("5", "too_many_deliveries"), ("6", "not_an_original"),
     ]

@@ -162,6 +162,37 @@ def test_pages_of_a_document_that_shrank(spark, make_pages, tmp_path):
     assert [r.problem for r in tables.write_pages(over, path, 3).collect()] == ["bad_page"]
 
 
+def test_a_writer_that_dies_leaves_the_batch_as_it_was(spark, make_pages, tmp_path):
+    from shelfmark.schemas import PAGES
+
+    path = str(tmp_path / "pages")
+    old = make_pages({"a": ["old 1", "old 2"]})
+    tables.write_pages(old, path, 7)
+    begun = history.read_history(spark, path, PAGES)
+    # The attempt is whole on disk, but its writer dies before the commit.
+    lost = history.write_attempt(make_pages({"a": ["half"]}), path, 7, ("tenant_id", "namespace"))
+    assert values(history.read_history(spark, path, PAGES), "text") == [("old 1",), ("old 2",)]
+    assert history.vacuum(spark, path, 3600) == 0
+    tables.write_pages(make_pages({"a": ["new"]}), path, 7)
+    assert values(history.read_history(spark, path, PAGES), "text", "batch_id") == [("new", 7)]
+    # Who began to read before the commit still can.
+    assert values(begun, "text") == [("old 1",), ("old 2",)]
+    assert history.vacuum(spark, path, -5) == 2
+    assert lost not in history.snapshot(spark, path).values()
+    assert values(history.read_history(spark, path, PAGES), "text") == [("new",)]
+    assert [b for b, _, _ in history.commits(spark, path)] == [7, 7]
+
+
+def test_two_writers_of_one_batch_leave_one(spark, make_pages, tmp_path):
+    from shelfmark.schemas import PAGES
+
+    path = str(tmp_path / "pages")
+    attempts = [history.write_attempt(make_pages({"a": [t]}), path, 1, ("tenant_id", "namespace")) for t in ("one", "two")]
+    for attempt in attempts:
+        history.commit(spark, path, 1, attempt)
+    assert values(history.read_history(spark, path, PAGES), "text") == [("two",)]
+
+
 def test_pages_beyond_key_strings_are_stored(spark, make_pages, tmp_path):
     from shelfmark.schemas import PAGES
 
