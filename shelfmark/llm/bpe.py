@@ -122,7 +122,10 @@ class Encoder:
         self.words = Words(whole, spec)
         model = spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
-        self.added = sorted(((t["content"], t["id"]) for t in spec["added_tokens"]), key=lambda t: -len(t[0]))
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # Where several start at one place, the longest counts.
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.added_in = re.compile("|".join(longest) or r"(?!)").finditer
         self.fragments: dict[tuple[str, bool], bytes] = {}
         self.last = Merger(whole.model, model["vocab"], suffix)
         #: Neighbours that some token holds; all other pairs are certain cuts. None: words are not cut.
@@ -150,15 +153,15 @@ class Encoder:
 
     def planned(self, text: str) -> list:
         """What a stretch is made of: fragments, and ids of added tokens as they stand."""
-        at = -1
-        for content, number in self.added:
-            found = text.find(content)
-            if found >= 0 and (at < 0 or found < at):
-                at, which, ident = found, content, number
-        if at >= 0:
-            head, rest = text[:at], text[at + len(which) :]
-            return (self.planned(head) if head else []) + [ident] + (self.planned(rest) if rest else [])
-        return [f for w in self.words(text) for f in self.cuts(w)]
+        plan, at = [], 0
+        for found in self.added_in(text):
+            plan += self.pieces(text[at : found.start()])
+            plan.append(self.added[found.group()])
+            at = found.end()
+        return plan + self.pieces(text[at:]) if at else self.pieces(text)
+
+    def pieces(self, text: str) -> list[tuple[str, bool]]:
+        return [f for w in self.words(text) for f in self.cuts(w)] if text else []
 
     def coded(self, plans: list[list]) -> list[bytes]:
         """Ids of each plan; fragments not met before are encoded together."""

@@ -46,7 +46,13 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
 RULES = BASE_RULES + (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # To the footer over nothing but what a key block holds, or where there is none, its lines.
+    Rule(
+        "pem", 2,
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,\\\x20\x09-\x0D-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:[\\n\x20\x09-\x0D]{0,4}[A-Za-z0-9+/=]{16,}){0,60})",
+    ),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 

@@ -173,5 +173,6 @@ def read_back(manifest: DataFrame) -> DataFrame:
                         at += n
 
     files = manifest.select("folder", "file", "start", "part")
-    spread = files.repartition(F.col("part"))
+    # A task a file: a number of parts that is given is not merged, however small the manifest.
+    spread = files.repartitionByRange(max(1, files.count()), "part")
     return spread.mapInArrow(lambda it: in_parts(rows(it), schema), "doc_id long, start long, ids binary")

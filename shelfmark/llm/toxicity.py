@@ -36,6 +36,7 @@ EMBEDDED = 1 << 12
 THRESHOLD = 0.3
 STRETCH = 4096 * STEP
 KEPT_WORDS = 200_000
+WORDS_AT_ONCE = 1 << 15
 _INPUTS = 2 + 2 * PART
 _WORDS = re.compile(r"\w+")
 
@@ -317,15 +318,30 @@ def _listed(flat: np.ndarray, first: np.ndarray, lengths: np.ndarray, chosen: np
     return flat[np.arange(count.sum()) + shift]
 
 
+def _slots_in_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``slots_of`` many words, some at a time, since its arrays are many times as large as what it returns."""
+    parts = [slots_of(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
+    before = np.cumsum([0, *(len(flat) for _, flat, _ in parts)])
+    first = np.concatenate([f + b for (_, _, f), b in zip(parts, before)])
+    return np.concatenate([w for w, _, _ in parts]), np.concatenate([f.astype(np.int32) for _, f, _ in parts]), first
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 3, passes: int = 3, seed: int = 3):
-    """(odds, network) fitted on labelled texts; None unless both labels occur."""
-    kept = [(w, int(y)) for w, y in ((words_of(t), y) for t, y in zip(texts, labels)) if w]
-    y = np.array([label for _, label in kept], np.int64)
+    """(odds, network) fitted on labelled texts, which are taken out of their list; None unless both labels occur."""
+    numbers: dict[str, int] = {}
+    docs, y = [], []
+    # Texts and words go as soon as they are numbers: the driver holds the sample once.
+    texts.reverse()
+    for label in labels:
+        words = words_of(texts.pop())
+        if words:
+            docs.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64))
+            y.append(int(label))
+    y = np.array(y, np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    numbers: dict[str, int] = {}
-    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words, _ in kept]
-    slots, flat, first = slots_of(list(numbers))
+    slots, flat, first = _slots_in_parts(list(numbers))
+    del numbers
     lengths = np.diff(np.concatenate([first, [len(flat)]]))
     word_counts, gram_counts = np.zeros((WORD_SLOTS, 2), np.int32), np.zeros((GRAM_SLOTS, 2), np.int32)
     for doc, label in zip(docs, y):
@@ -382,19 +398,28 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, passes: int = 3,
 def _reselect(network, docs, y, seen, slots, flat, first, lengths):
     """The window of each text that the network now finds worst."""
     p = network.p
-    mean = np.add.reduceat(p["gram"][flat % EMBEDDED], first, axis=0) / lengths[:, None]
-    base = np.concatenate([p["word"][slots % EMBEDDED], mean], 1)
-    tables = [np.concatenate([s, base], 1).astype(np.float32) @ p["x"] + p["bx"] for s in seen]
-    worst = []
-    for doc, label in zip(docs, y):
+    sums = []
+    for at in range(0, len(first), WORDS_AT_ONCE):
+        own = first[at : at + WORDS_AT_ONCE]
+        end = first[at + WORDS_AT_ONCE] if at + WORDS_AT_ONCE < len(first) else len(flat)
+        sums.append(np.add.reduceat(p["gram"][flat[own[0] : end] % EMBEDDED], own - own[0], axis=0))
+    base = np.concatenate([p["word"][slots % EMBEDDED], np.concatenate(sums) / lengths[:, None]], 1)
+    worst = np.zeros(len(docs), np.int64)
+    table, of = None, None
+    # One label after the other, so that one table of all words stands at a time.
+    for n in np.argsort(y, kind="stable").tolist():
+        doc, label = docs[n], int(y[n])
+        if label != of:
+            table, of = None, label
+            table = np.concatenate([seen[label], base], 1).astype(np.float32) @ p["x"] + p["bx"]
         places = starts(len(doc))
         padded = np.full(places[-1] + WIDTH, -1, np.int64)
         padded[: len(doc)] = doc[: len(padded)]
         w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[::STEP].T)
         mask = w >= 0
-        a = np.where(mask[:, :, None], tables[label][np.maximum(w, 0)], p["bx"])
-        worst.append(int(np.argmax(network.logits(a, mask))) * STEP)
-    return worst
+        a = np.where(mask[:, :, None], table[np.maximum(w, 0)], p["bx"])
+        worst[n] = int(np.argmax(network.logits(a, mask))) * STEP
+    return worst.tolist()
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col="doc_id", text_col="text") -> DataFrame:
@@ -414,7 +439,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_co
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, **columns):
     """(odds, network), or None if the sample lacks a label."""
     rows = sorted((r["toxic"], r["text"] or "") for r in sample(docs, labels, per_label, **columns).collect())
-    return train([t for _, t in rows], [label for label, _ in rows])
+    known = [label for label, _ in rows]
+    texts = [t for _, t in rows]
+    del rows
+    return train(texts, known)
 
 
 def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:

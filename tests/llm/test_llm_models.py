@@ -436,7 +436,7 @@ def test_pipeline_stages(spark, library):
             assert {r["doc_id"] for r in after} == {i for i, root in roots.items() if i == root}
         elif name == "secrets":
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
-            assert secrets.scan(docs)[1].filter(F.size(secrets.of_kinds(F.col("spans"), "access", "hex")) > 0).count() == 0
+            assert secrets.scan(docs)[1].filter(F.size(secrets.of_kinds(F.col("spans"), "access", "hex", "pem", "jwt")) > 0).count() == 0
         elif name == "mixing":
             plan = mixing.plan(spark.createDataFrame(before, docs.schema)).collect()
             check_mix(plan, [(r["doc_id"], r["text"], r["source"]) for r in before])
@@ -449,10 +449,30 @@ def test_pipeline_stages(spark, library):
             assert docs.columns == columns
 
 
+def test_added_tokens_in_a_row():
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        coder = bpe.Kept(bpe.Encoder(f.read()))
+    for text in ("<|endoftext|>" * 10_000, "a<|endoftext|>b<|startoftext|><|endoftext|> c", "<|endoftext", "<|endoftext|>"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.texts([text])[0], "<u4").tolist() == want
+
+
+def test_token_files_are_read_by_as_many_tasks_as_files(spark, make_docs):
+    folder, tokenizer, manifest = scratch_path(spark, "tokens"), bpe.load(spark), None
+    for n in range(5):
+        made = token_files.write(make_docs(*((10 * n + i, f"text {i}") for i in range(10))), tokenizer, folder)
+        made = made.withColumn("part", F.col("part") + 100 * n)
+        manifest = made if manifest is None else manifest.unionByName(made)
+    held = token_files.read_back(manifest)
+    used = held.select(F.spark_partition_id().alias("at")).distinct().count()
+    assert used == manifest.count() >= 5 and held.count() == 50
+
+
 def test_pipeline_is_registered(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     ops = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if re.match(r"op\d+_", n))
-    assert ops == list(range(1, 11))
+    assert ops == list(range(1, 14))
 
 
 def test_pipeline_odd_rows(spark, make_docs, tmp_path):
