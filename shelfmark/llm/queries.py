@@ -39,7 +39,8 @@ def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of the corpus: base rules first, then the further rules over the same ledger."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    _, _, by_path = secrets.scan(docs)
+    ledger, findings, _ = secrets.scan(docs, secrets.BASE_RULES)
+    _, _, by_path = secrets.scan(docs, secrets.RULES, ledger, findings)
     base = secrets.of_kinds(F.col("spans"), *(r.kind for r in secrets.BASE_RULES))
     count = lambda kind: F.size(secrets.of_kinds(F.col("spans"), kind)).cast("long")
     return by_path.select(

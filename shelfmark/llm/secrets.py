@@ -5,7 +5,8 @@ version) triples have been scanned; a run scans the rest, each distinct blob onc
 many paths hold it, and joins findings back to all paths. Only built-in functions are used.
 
 Cases: a null text is scanned as the empty one; rows repeated under one id stay repeated;
-an empty table gives empty results; other columns of the input are ignored.
+an empty table gives empty results; other columns of the input are ignored; a text is scanned
+and redacted whole, however long and however many its hits.
 """
 
 from __future__ import annotations
@@ -61,22 +62,68 @@ LEDGER = "blob string, rule string"
 FINDINGS = "blob string, spans " + SPANS
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fold(values: Column, step) -> Column:
+    """``step`` of all elements up to each, for short arrays: every step copies what there is."""
+    first = F.array().cast("array<int>")
+
+    def add(done: Column, value: Column) -> Column:
+        last = F.when(F.size(done) == 0, value).otherwise(step(F.try_element_at(done, F.lit(-1)), value))
+        return F.concat(done, F.array(last))
+
+    return F.aggregate(values, first, add)
+
+
+def running(values: Column, step) -> Column:
+    """``step`` (associative) of all elements up to each, of an integer array of any length.
+
+    Pieces of about the square root of the length are folded, then their last values; so the
+    copying grows with the power 1.5 of the length and not with its square.
+    """
+
+    def chunked(values: Column) -> Column:
+        n = F.size(values)
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), width)
+        return _bound(F.transform(starts, lambda at: _fold(F.slice(values, at, width), step)), joined)
+
+    def joined(chunks: Column) -> Column:
+        tops = _fold(F.transform(chunks, lambda c: F.try_element_at(c, F.lit(-1))), step)
+        return _bound(tops, lambda tops: F.flatten(F.transform(chunks, lambda c, k: raised(c, k, tops))))
+
+    def raised(chunk: Column, k: Column, tops: Column) -> Column:
+        return F.when(k == 0, chunk).otherwise(
+            _bound(F.get(tops, k - 1), lambda before: F.transform(chunk, lambda v: step(before, v)))
+        )
+
+    return _bound(values, chunked)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule in code points: what lies between hits and the hits themselves, laid end to end."""
-    pieces, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     none = F.array().cast(SPANS)
+    pieces = F.split(text, rule.pattern, -1)
+
+    def laid(hits: Column) -> Column:
+        both = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.length(p) + F.length(h))
+        ends = running(both, lambda a, b: a + b)
+        held = F.filter(F.arrays_zip(hits.alias("hit"), ends.alias("end")), long_enough)
+        return F.transform(held, span)
 
-    def lay(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["hit"])
+    def long_enough(pair: Column) -> Column:
         value = F.regexp_extract(pair["hit"], rule.pattern, rule.value_group) if rule.value_group else pair["hit"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        found = F.when(F.length(value) >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.cast(SPANS).alias("found"))
+        return F.length(value) >= rule.least
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
-    laid = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), lay, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), laid).otherwise(none)
+    def span(pair: Column) -> Column:
+        start = pair["end"] - F.length(pair["hit"])
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), pair["end"].alias("end"))
+
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    return F.when(text.rlike(rule.pattern), _bound(hits, laid).cast(SPANS)).otherwise(none)
 
 
 def address(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,20 +201,36 @@ def of_kinds(spans: Column, *kinds: str) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by ``mark``."""
-
-    def merge(state: Column, span: Column) -> Column:
-        keep = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        out = F.when(span["start"] >= state["at"], F.concat(state["out"], keep, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        merge,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with every span, overlapping ones as one, replaced by ``mark``.
+
+    ``spans`` are in order of their starts. Cuts are taken from stretches of about the square
+    root of their number, since finding a place in a text means walking up to it.
+    """
+    cut = lambda t, at, to: F.substring(t, at + 1, to - at)
+
+    def opened(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return _bound(reach, lambda reach: kept(spans, reach))
+
+    def kept(spans: Column, reach: Column) -> Column:
+        # A kept stretch runs from where all spans so far end to the next start at or behind it.
+        gaps = F.transform(
+            spans, lambda s, n: F.struct(F.when(n > 0, F.get(reach, n - 1)).otherwise(0).alias("at"), s["start"].alias("to"))
+        )
+        tail = F.struct(F.try_element_at(reach, F.lit(-1)).alias("at"), F.lit(2**31 - 1).alias("to"))
+        return _bound(F.concat(F.filter(gaps, lambda g: g["to"] >= g["at"]), F.array(tail)), stretches)
+
+    def stretches(gaps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(gaps))).cast("int")
+        groups = F.transform(F.sequence(F.lit(1), F.size(gaps), width), lambda at: F.slice(gaps, at, width))
+        return F.array_join(F.flatten(F.transform(groups, pieces)), mark)
+
+    def pieces(group: Column) -> Column:
+        first, last = F.get(group, 0)["at"], F.try_element_at(group, F.lit(-1))["to"]
+        here = F.struct(cut(text, first, last).alias("text"), first.alias("at"))
+        return _bound(here, lambda h: F.transform(group, lambda g: cut(h["text"], g["at"] - h["at"], g["to"] - h["at"])))
+
+    return F.when(F.size(spans) > 0, _bound(spans, opened)).otherwise(text)
 
 
 def redacted(versions: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
