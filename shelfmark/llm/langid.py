@@ -188,17 +188,19 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """(text, lang) to learn from: never held-out rows; in each language the same share by a digest of the text.
+    """(text, lang) to learn from: never held-out rows; in each language the same share by a digest of text and id.
 
-    The share of a language follows from its number of rows, so about ``per_language`` are drawn.
+    The share of a language follows from its number of rows, so about ``per_language`` are drawn
+    whatever repeats; rows that repeat under one id as well are drawn together.
     """
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    draw = F.pmod(F.xxhash64(text_col, id_col), F.lit(1_000_000_000))
+    known = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("_draw"))
     shares = known.groupBy("lang").count().select(
         F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("count")).alias("_share")
     )
     met = known.join(F.broadcast(shares), F.col("lang") == F.col("_lang"))  # one row a language
-    return met.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("_share") * 1_000_000).select("text", "lang")
+    return met.filter(F.col("_draw") < F.col("_share") * 1_000_000_000).select("text", "lang")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **columns) -> Model | None:

@@ -380,6 +380,14 @@ def close_texts(n, seed, langs=tuple(CLOSE)):
     return [t for _, t in kept], [lang for lang, _ in kept]
 
 
+def test_sample_of_repeated_texts_is_bounded(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 3 > 0, F.col("id"))).alias("own"))
+    docs = rows.select("doc_id", F.coalesce("own", F.lit("one text of a third of all rows")).alias("text"), F.lit("en").alias("lang"))
+    for n in range(20):  # whatever the repeated text is
+        drawn = langid.sample(docs.withColumn("text", F.concat("text", F.lit(f" {n}"))), 300).count()
+        assert 200 < drawn < 420
+
+
 def test_three_close_languages_have_a_machine_for_each_two():
     texts, langs = close_texts(80, 1)
     assert max(map(len, texts)) <= 80  # no excerpts are drawn
