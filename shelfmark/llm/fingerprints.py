@@ -2,10 +2,11 @@
 
 A k-mer of code points is an anchor if the least hash among its s-mers stands at its first or
 last place. Whether it is depends on the k-mer alone, so the same passage has the same anchors
-wherever it stands. A fingerprint keeps the anchors of least hash, each with the place of its
-first occurrence: a sample of all anchors of the whole text, the same for equal texts. Two
-fingerprints are alike by the share of common anchors that also agree on how far the passage
-has moved.
+wherever it stands. A fingerprint keeps every anchor whose hash lies below a fixed share of all
+hashes, hence a number that grows with the text and does not depend on what else it holds; short
+texts, with few of those, keep their anchors of least hash up to a fixed number. Each has the
+place of its first occurrence. Two fingerprints are alike by the share of common anchors, among
+the hashes below which both are complete, that also agree on how far the passage has moved.
 
 Cases: null and empty texts have the empty fingerprint, like only to itself; a text without
 anchors is anchored by all of it; ties of a hash keep the first place; rows of one id are
@@ -28,9 +29,13 @@ from .bpe import in_parts
 from .common import batches, mix64, rolling, whole_text
 
 K, S = 12, 5
+#: A text keeps at least so many anchors (all, if it has fewer), and all whose 32-bit hash is below ``BELOW``.
 ANCHORS = 64
+BELOW = 2**32 // 32
 #: Places are kept in steps of this many code points.
 STEP = 8
+#: Texts of a range of ids, in bytes; ranges are one document or more.
+RANGE_BYTES = 64 << 20
 _SEED = 0x51ED270B
 
 
@@ -64,8 +69,8 @@ def syncmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]
     return whole, places
 
 
-def fingerprint(text: str, k: int = K, s: int = S, anchors: int = ANCHORS) -> str:
-    """Twelve hex digits an anchor: its hash, then its place in steps (the last digits stay at most ffff)."""
+def fingerprint(text: str, k: int = K, s: int = S, anchors: int = ANCHORS, below: int = BELOW) -> str:
+    """Sixteen hex digits an anchor, in order of hash: its hash, then its place in steps."""
     if not text:
         return ""
     hashes, places = syncmers(text, k, s)
@@ -76,37 +81,37 @@ def fingerprint(text: str, k: int = K, s: int = S, anchors: int = ANCHORS) -> st
         places = np.zeros(1, np.int64)
     short = hashes >> np.uint64(32)
     kept, first = np.unique(short, return_index=True)  # the first place of each, ordered by hash
-    kept, first = kept[:anchors], first[:anchors]
-    steps = np.minimum(places[first] // STEP, 0xFFFF).astype(np.uint64)
-    packed = ((kept << np.uint64(16)) | steps).astype(">u8").tobytes().hex()
-    return "".join(packed[i + 4 : i + 16] for i in range(0, len(packed), 16))
+    n = max(anchors, int(np.searchsorted(kept, np.uint64(below))))
+    steps = (places[first[:n]] // STEP).astype(np.uint64)
+    return ((kept[:n] << np.uint64(32)) | steps).astype(">u8").tobytes().hex()
 
 
 def anchors_of(printed: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(bytes.fromhex(printed), np.uint8).reshape(-1, 6).astype(np.int64)
-    return (
-        (raw[:, 0] << 24) | (raw[:, 1] << 16) | (raw[:, 2] << 8) | raw[:, 3],
-        (raw[:, 4] << 8) | raw[:, 5],
-    )
+    raw = np.frombuffer(bytes.fromhex(printed), ">u4").astype(np.int64)
+    return raw[::2], raw[1::2]
+
+
+def complete_to(hashes: np.ndarray, anchors: int = ANCHORS, below: int = BELOW) -> int:
+    """The hash up to which a fingerprint has all anchors of its text."""
+    return 2**32 if len(hashes) < anchors else max(below - 1, int(hashes[-1]))
 
 
-def likeness(a: str, b: str, anchors: int = ANCHORS) -> float:
-    """0 to 1: common anchors that moved alike, among the least hashes of both together."""
+def likeness(a: str, b: str, anchors: int = ANCHORS, below: int = BELOW) -> float:
+    """0 to 1: common anchors that moved alike, among those of both together as far as both are complete."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
     (ha, pa_), (hb, pb) = anchors_of(a), anchors_of(b)
-    both = np.union1d(ha, hb)[:anchors]
-    common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    inside = common <= both[-1]
-    moved = (pa_[ia] - pb[ib])[inside]
-    if not len(moved):
+    reach = min(complete_to(ha, anchors, below), complete_to(hb, anchors, below))
+    na, nb = np.searchsorted(ha, reach, "right"), np.searchsorted(hb, reach, "right")
+    common, ia, ib = np.intersect1d(ha[:na], hb[:nb], assume_unique=True, return_indices=True)
+    if not len(common):
         return 0.0
     # The commonest displacement, give or take a step of rounding.
-    values, counts = np.unique(moved, return_counts=True)
-    near = max(int(counts[np.abs(values - v) <= 1].sum()) for v in values)
-    return near / len(both)
+    moved = np.sort(pa_[ia] - pb[ib])
+    near = np.searchsorted(moved, moved + 1, "right") - np.searchsorted(moved, moved - 1, "left")
+    return int(near.max()) / int(na + nb - len(common))
 
 
 def edited(text: str, following: str) -> str:
@@ -117,7 +122,8 @@ def edited(text: str, following: str) -> str:
 
 def _bounds(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int]]:
     """Ids that split the table into ``parts`` ranges, and the first id of each range with rows."""
-    cuts = docs.select(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    steps = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = docs.select(F.percentile_approx("_key", steps, max(10_000, 10 * parts))).first()[0]
     bounds = sorted(set(cuts or []))
     firsts = docs.groupBy(_range_of(F.col("_key"), bounds).alias("part")).agg(F.min("_key").alias("first"))
     # One small row a range, not a row a document.
@@ -142,7 +148,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), key.alias("_key"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = held.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     bounds, firsts = _bounds(held.select("_key"), parts)
     used = sorted(firsts)
     before = {part: used[i - 1] for i, part in enumerate(used)}  # the last range precedes the first

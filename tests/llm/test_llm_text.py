@@ -1,6 +1,7 @@
 """Near-dedup, fingerprints, secrets and substring dedup against plain Python."""
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -142,6 +143,64 @@ def test_syncmers_are_context_free():
         assert len(inner) == fingerprints.K - fingerprints.S + 1
 
 
+def brute_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    """{hash: first place} by the definition, one inner substring at a time."""
+    seed, out = fingerprints._SEED, {}
+    one = functools.cache(lambda t: int(fingerprints.rolling(fingerprints.code_points(t).astype(np.uint64), s, seed)[0]))
+    for at in range(len(text) - k + 1):
+        inner = [one(text[at + i : at + i + s]) for i in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            (whole,), _ = fingerprints.syncmers(text[at : at + k])
+            out.setdefault(int(whole) >> 32, at)
+    return out
+
+
+def brute_printed(text, anchors, below):
+    found = sorted(brute_anchors(text).items())
+    kept = [(h, p) for n, (h, p) in enumerate(found) if n < anchors or h < below]
+    return "".join(f"{h:08x}{p // fingerprints.STEP:08x}" for h, p in kept)
+
+
+def brute_likeness(a, b, anchors, below):
+    def parts(printed):
+        rows = {int(printed[i : i + 8], 16): int(printed[i + 8 : i + 16], 16) for i in range(0, len(printed), 16)}
+        return rows, 2**32 if len(rows) < anchors else max(below - 1, max(rows))
+
+    if a == b or not (a and b):
+        return float(a == b)
+    (x, rx), (y, ry) = parts(a), parts(b)
+    both = {h for h in x.keys() | y.keys() if h <= min(rx, ry)}
+    moved = [x[h] - y[h] for h in both if h in x and h in y]
+    return max((sum(abs(m - v) <= 1 for m in moved) for v in moved), default=0) / len(both)
+
+
+@pytest.mark.parametrize("anchors,below", [(64, 2**27), (8, 2**29), (4, 2**31), (1, 0)])
+def test_fingerprints_equal_brute_force(anchors, below):
+    rng = np.random.default_rng(anchors)
+    text = lambda n: "".join(rng.choice(list("abcdé\U0001f600 "), n))
+    shared = text(300)
+    texts = [shared, text(40) + shared, shared[:200] + text(150), text(400), text(30), "short", text(12), "a" * 90]
+    printed = [fingerprints.fingerprint(t, anchors=anchors, below=below) for t in texts]
+    for t, p in zip(texts, printed):
+        assert p == (brute_printed(t, anchors, below) if brute_anchors(t) else p[:8] + "0" * 8)
+    for a in printed:
+        for b in printed:
+            assert fingerprints.likeness(a, b, anchors, below) == pytest.approx(brute_likeness(a, b, anchors, below))
+
+
+def test_long_texts_keep_their_passages():
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefghijkl "), n))
+    passage = text(60_000)
+    long = text(900_000) + passage + text(300_000)
+    mine, theirs = fingerprints.fingerprint(long), fingerprints.fingerprint(passage + text(20_000))
+    hashes, places = fingerprints.anchors_of(mine)
+    assert len(hashes) > 5_000 and places.max() > 0xFFFF
+    kept = lambda p: {*fingerprints.anchors_of(fingerprints.fingerprint(p))[0].tolist()}
+    assert len(kept(passage) - {*hashes.tolist()}) == 0
+    assert 0.03 < fingerprints.likeness(mine, theirs) < 0.07
+
+
 def test_likeness_orders_texts():
     rng = np.random.default_rng(3)
     text, other = ("".join(rng.choice(list("abcdefghij "), 4000)) for _ in range(2))
@@ -179,6 +238,20 @@ def test_neighbours_of_few(make_docs):
     assert only["edited"] == ("abcdefgh" * 9)[:54] + ("abcdefgh" * 9)[:18]
 
 
+def test_op2_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids, want = sorted(docs), {}
+    bounds = fingerprints.ANCHORS, fingerprints.BELOW
+    for n, i in enumerate(ids[:10]):
+        nxt = docs[ids[(n + 1) % len(ids)]]
+        own, changed, after = (brute_printed(t, *bounds) for t in (docs[i], fingerprints.edited(docs[i], nxt), nxt))
+        want[i] = (own, changed, brute_likeness(own, changed, *bounds), brute_likeness(own, after, *bounds))
+    for r in q.queries()["op2_syncmer_fingerprints"](spark, SF).collect():
+        if r["doc_id"] in want:
+            got = (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"])
+            assert got == want[r["doc_id"]]
+
+
 def test_op2_contract(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = sorted(docs)
@@ -259,6 +332,39 @@ def test_redaction(make_docs):
     assert secrets.redacted(make_docs()).count() == 0
 
 
+def test_running_folds(spark):
+    rows = [[], [4], [1, 2, 3], [5] * 17, list(range(-40, 60))]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<int>")
+    sums = df.select("v", secrets.running(F.col("v"), lambda a, b: a + b), secrets.running(F.col("v"), F.greatest)).collect()
+    for values, added, most in sums:
+        assert added == np.cumsum(values, dtype=int).tolist()
+        assert most == np.maximum.accumulate(np.array(values, int)).tolist()
+
+
+def test_overlapping_spans(spark):
+    text = "ab\U0001f600cdefghij"
+    cases = [([(0, 2), (2, 4)], "[]" * 2 + "defghij"), ([(1, 5), (2, 3), (4, 7), (8, 9)], "a[]g[]ij"), ([(0, 11)], "[]"), ([], text), ([(9, 10)], "ab\U0001f600cdefgh[]j")]
+    for spans, want in cases:
+        made = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans))
+        if not spans:
+            made = made.cast("array<struct<start:int,end:int>>")
+        got = spark.range(1).select(secrets.redact(F.lit(text), made, "[]")).first()[0]
+        assert got == want, spans
+
+
+def test_many_hits_in_one_text(make_docs):
+    from time import perf_counter
+
+    text = "".join(f"é password=secret{i:06d} and AKIA{i:016d} " for i in range(50_000))
+    began = perf_counter()
+    _, _, by_path = secrets.scan(make_docs((1, text)))
+    base = secrets.listed(secrets.of_kinds(F.col("spans"), *BASE))
+    assert by_path.select(base).first()[0] == brute_spans(text)
+    (row,) = secrets.redacted(make_docs((1, text))).collect()
+    assert row["text"] == "é [secret] and [secret] " * 50_000
+    assert perf_counter() - began < 60  # some seconds; it was hours when it grew with the square
+
+
 def brute_removed(rows, window=50):
     first = {}
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
