@@ -36,6 +36,7 @@ SCRATCH_TTL_DAYS = 7
 SUPERSEDED_DAYS = {"scratch": 1, "derived": 7, "tenants": 30}
 ALARM_PERIOD_SECONDS = 300
 MAX_DELIVERIES = 5
+DEAD_LETTER_DAYS = 14
 
 
 def clamp(wanted: int | None, bound: int, least: int = 1) -> int:

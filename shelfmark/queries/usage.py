@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alarms, ledger
 from ..session import scratch_path
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import corpus as c
 from .registry import Registry
 
@@ -165,9 +165,9 @@ def _changes(spark, d):
 # --- streams -------------------------------------------------------------------
 
 
-def drain(spark, stream, label: str, mode: str, schema):
-    """Run a stream over everything there is and read back what it wrote."""
-    out, checkpoint = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-checkpoint")
+def drain(spark, stream, label: str, mode: str, schema, at: tuple[str, str] | None = None):
+    """Run a stream over everything there is and read back what it wrote, now and before ``at`` the same places."""
+    out, checkpoint = at or (scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-checkpoint"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -207,3 +207,80 @@ def _quota_stream(spark, d):
         (sign * F.floor("value")).cast("long").alias("delta_bytes"),
     )
     return drain(spark, jobs.quota_stream(rows, QUOTA), "quota", "append", jobs.QUOTA_OUTPUT)
+
+
+# --- streams with keyed state ------------------------------------------------------
+
+
+def in_turns(spark, rows, order: str, build, label: str, files: int = 4):
+    """Everything that the stream ``build(source)`` writes over ``rows`` put into files in order of ``order``,
+    a trigger a file; the stream is stopped before the last file comes and started anew from its checkpoint."""
+    inbox, at = scratch_path(spark, f"{label}-in"), (scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-checkpoint"))
+    spark.conf.set(jobs.STATE_STORE, jobs.ROCKS_DB)
+    number = F.col(order).cast("double")
+    cuts = rows.select(F.percentile_approx(number, [i / files for i in range(1, files)])).first()[0] or []
+    edges = [None, *cuts, None]
+    for n, (low, high) in enumerate(zip(edges, edges[1:])):
+        above = F.lit(True) if low is None else number > low
+        part = rows.where(above & (F.lit(True) if high is None else number <= high))
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        if n >= len(edges) - 3:
+            source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+            stream = build(source)
+            out = drain(spark, stream, label, "append", stream.schema, at)
+    return out
+
+
+@queries.add(
+    "delivery_counts",
+    """WITH gaps AS (
+  SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS fresh, row_number() OVER w AS k FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+spells AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY k) AS spell FROM gaps),
+counted AS (SELECT *, row_number() OVER (PARTITION BY user_id, spell ORDER BY k) AS n FROM spells)
+SELECT 'u' || user_id AS message_id, CASE WHEN n > 5 THEN 'dead' ELSE 'delivery' END AS kind, n FROM counted
+UNION ALL SELECT 'u' || user_id, 'expired', max(n) FROM counted GROUP BY user_id, spell
+HAVING max(n) > 5 AND (max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)""",
+)
+def _delivery_counts(spark, d):
+    """Every event as one more delivery of its user's message, forgotten after half a day of silence."""
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("message_id")
+    rows = c.table(spark, d, "events").select(user, F.col("event_type").alias("body"), F.col("ts").cast("timestamp").alias("ts"))
+    out = in_turns(spark, rows, "ts", lambda s: state.count_deliveries(s, "ts", keep_days=0.5), "deliveries")
+    return out.select("message_id", "kind", "n")
+
+
+@queries.add(
+    "changed_objects",
+    """SELECT 'o' || user_id AS key, arg_max(event_type, ts) AS etag, epoch_us(min(ts)) // 1000 AS first FROM events GROUP BY user_id""",
+)
+def _changed_objects(spark, d):
+    """Events as new versions of a user's object; the last one reported is what it is now."""
+    rows = c.table(spark, d, "events").select(
+        F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("etag"),
+        F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("size"), F.lit("text/plain").alias("content_type"),
+    )
+    out = in_turns(spark, rows, "ts", lambda s: state.changed_objects(s, "ts"), "objects")
+    return out.groupBy("key").agg(F.max_by("etag", "at").alias("etag"), F.min(F.unix_millis("first")).alias("first"))
+
+
+@queries.add(
+    "alarm_timers",
+    f"""WITH {WINDOWS}, spine AS (
+  SELECT t.event_type, p.period_start FROM (SELECT DISTINCT event_type FROM events) t,
+    (SELECT unnest(range(min(period_start), max(period_start) + INTERVAL 5 MINUTE, INTERVAL 5 MINUTE)) AS period_start FROM windows) p),
+firing AS (
+  SELECT s.event_type, s.period_start, coalesce(w.stat, 0) > 30 AND lag(coalesce(w.stat, 0), 1, 0) OVER (PARTITION BY s.event_type ORDER BY s.period_start) > 30 AS alarm
+  FROM spine s LEFT JOIN windows w ON w.event_type = s.event_type AND w.period_start = s.period_start),
+turns AS (SELECT *, lag(alarm, 1, false) OVER (PARTITION BY event_type ORDER BY period_start) AS was FROM firing)
+SELECT event_type, {STAMP}, CASE WHEN alarm THEN 'ALARM' ELSE 'OK' END AS state FROM turns
+WHERE alarm <> was AND period_start + INTERVAL 15 MINUTE < (SELECT max(ts) FROM events)""",
+)
+def _alarm_timers(spark, d):
+    """The turns of ``alarm_changes`` as far as the watermark has come, by timers in a stream."""
+    rows = c.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = in_turns(
+        spark, rows, "ts",
+        lambda s: state.alarm_timers(s, "event_type", "ts", F.floor("value").cast("long"), 30, periods=2), "timers",
+    )
+    return _shown(out.select(F.col("metric").alias("event_type"), F.col("at").alias("period_start"), F.col("kind").alias("state")))

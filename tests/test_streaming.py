@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import values
@@ -14,7 +14,7 @@ from shelfmark.plans.ingest import Store
 from shelfmark.schemas import CHANGES, ENTRIES, MESSAGES, OBJECTS
 from shelfmark.sinks import history
 from shelfmark.sources.connector import Item, register_source, scan_connector
-from shelfmark.streaming import jobs
+from shelfmark.streaming import jobs, state
 
 NOW = datetime(2026, 6, 14, tzinfo=timezone.utc)
 
@@ -141,3 +141,83 @@ def test_connector_source(spark):
     register_source(spark, "shelf", Shelf)
     got = values(scan_connector(spark, "shelf", prefix="x/"), "path", "size", "content_type")
     assert got == [("x/one/0.md", 0, None), ("x/one/1.md", 1, None), ("x/two/0.md", 0, None), ("x/two/1.md", 1, None)]
+
+
+def at(minutes):
+    return (NOW + timedelta(minutes=minutes)).isoformat()
+
+
+class Turns:
+    """A stream over JSON files that is stopped and started anew after every file."""
+
+    def __init__(self, spark, tmp_path, schema, build):
+        self.spark, self.path, self.schema, self.build, self.n = spark, tmp_path, schema, build, 0
+
+    def __call__(self, *rows):
+        put(self.path / "in", f"{self.n}.json", [dict(zip(self.schema.names, r)) for r in rows])
+        stream = self.build(self.spark.readStream.schema(self.schema).json(str(self.path / "in")))
+        seen = []
+        writer = stream.writeStream.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+        writer.option("checkpointLocation", str(self.path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        self.n += 1
+        return sorted(seen, key=str)
+
+
+def moment(minutes):
+    return (NOW + timedelta(minutes=minutes)).replace(tzinfo=None)
+
+
+def test_alarm_timers_fire_clear_and_report_late_rows(spark, tmp_path):
+    schema = T._parse_datatype_string("m string, ts timestamp, v double")
+    turn = Turns(spark, tmp_path, schema, lambda s: state.alarm_timers(s, "m", "ts", F.col("v"), 10, 2, 300, "1 minute"))
+    assert turn(("a", at(0), 20.0), ("a", at(6), 6.0), ("a", at(7), 6.0), ("b", at(1), 50.0), ("b", None, 1.0)) == []
+    # The watermark passes 5 and 10; what came for 5 in two rows breaches, and b's second period is empty.
+    assert turn(("b", at(12), 50.0), ("c", at(12), None)) == [("a", "ALARM", moment(5), 12.0)]
+    got = turn(("a", at(3), 99.0), ("b", at(16), 1.0), ("b", at(17), 10.0), ("c", at(31), 1.0))
+    assert ("a", "LATE", moment(3), 99.0) in got
+    # a stays empty from 10 on and clears there, though nothing of it comes; b breaches at 10 and 15.
+    assert ("a", "OK", moment(10), None) in got and ("b", "ALARM", moment(15), 11.0) in got
+    # Its clearing timer is set while timers fire, so it may ring in this trigger or the next, but once.
+    cleared = [r for r in got + turn(("c", at(60), 1.0)) if r[0] == "b" and r[1] == "OK"]
+    assert cleared == [("b", "OK", moment(20), None)]
+
+
+def test_deliveries_are_counted_and_forgotten(spark, tmp_path):
+    schema = T._parse_datatype_string("message_id string, body string, ts timestamp")
+    turn = Turns(spark, tmp_path, schema, lambda s: state.count_deliveries(s, "ts", 2, keep_days=1 / 24, late="0 seconds"))
+    got = turn(("x", "1", at(0)), ("x", "2", at(1)), ("y", "1", at(1)), (None, "n", at(2)), ("z", "z", None))
+    assert [r[:3] for r in got] == [("x", "delivery", 1), ("x", "delivery", 2), ("y", "delivery", 1), (None, "delivery", 1)]
+    got = turn(("x", "3", at(2)), ("x", "4", at(3)))
+    assert [(r[1], r[2], r[4]) for r in got] == [("dead", 3, "3"), ("dead", 4, "4")]
+    got = turn(("y", "2", at(62)), ("x", "5", at(70)))
+    assert sorted((r[0], r[1], r[2]) for r in got) == [("x", "delivery", 1), ("x", "expired", 4), ("y", "delivery", 1)]
+
+
+def test_ingest_of_changed_objects_reads_no_catalog(spark, tmp_path):
+    schema = T._parse_datatype_string("key string, etag string, size long, content_type string, ts timestamp")
+    files, asked = {"tenants/dev/ns/a.md": b"alpha", "tenants/dev/ns/b.md": b"beta", "scratch/dev/bot/x.md": b"no"}, []
+    store = Store(str(tmp_path / "e"), str(tmp_path / "p"))
+    event = lambda k, tag, m: dict(zip(schema.names, (k, tag, 5, None, at(m))))
+
+    def contents(named):
+        wanted = [r.key for r in named.collect()]
+        asked.append(sorted(wanted))
+        return spark.createDataFrame([(k, bytearray(files[k])) for k in wanted], "key string, content binary")
+
+    def drain(name, *rows):
+        put(tmp_path / "in", name, rows)
+        events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        state.ingest_changed(events, "ts", contents, store, str(tmp_path / "cp"), lambda: NOW).awaitTermination()
+
+    a, b = "tenants/dev/ns/a.md", "tenants/dev/ns/b.md"
+    drain("1.json", event(a, '"1"', 0), event(b, "1", 1), event(a, "2", 3), event("scratch/dev/bot/x.md", "1", 1), event(None, "1", 1))
+    first = {r.path: r for r in store.current(spark).collect()}
+    assert sorted(first) == ["a.md", "b.md"] and first["a.md"].etag == "2" and first["a.md"].created_at == moment(0)
+    files[a] = b"alpha, rewritten"
+    # The same etag again, an older event, and one object that changed.
+    drain("2.json", event(b, "1", 9), event(a, "1", 2), event(a, "3", 9))
+    again = {r.path: r for r in store.current(spark).collect()}
+    assert [keys for keys in asked if keys] == [[a, b], [a]]
+    assert again["a.md"].created_at == moment(0) and again["a.md"].etag == "3" and again["a.md"].entry_id == first["a.md"].entry_id
+    assert again["a.md"].size == len(files[a])
+    assert history.read_history(spark, store.entries, ENTRIES).count() == 3
