@@ -80,8 +80,10 @@ def heading_level(line: Column) -> Column:
     return F.length(F.regexp_extract(line, HEADING, 1))
 
 
-def heading_title(line: Column) -> Column:
-    return F.substring(F.regexp_extract(line, HEADING, 2), 1, limits.OUTLINE_TITLE_CHARS)
+def heading_title(line: Column, chars: int | None = limits.OUTLINE_TITLE_CHARS) -> Column:
+    """The words of a heading line, cut at ``chars`` characters unless that is ``None``."""
+    title = F.regexp_extract(line, HEADING, 2)
+    return title if chars is None else truncate(title, chars)
 
 
 def starts_with_pipe(line: Column) -> Column:

@@ -1,6 +1,6 @@
-"""The answer bounds of the exploration operators.
+"""The answer sizes that the exploration operators take unless told otherwise.
 
-Callers may ask for less than a bound, never for more.
+They are defaults: a caller may ask for less, for more, or with ``None`` for the whole answer.
 """
 
 READ_PAGES = 20
@@ -39,6 +39,6 @@ MAX_DELIVERIES = 5
 DEAD_LETTER_DAYS = 14
 
 
-def clamp(wanted: int | None, bound: int, least: int = 1) -> int:
-    """A requested size held between ``least`` and ``bound`` (the default when unset)."""
-    return bound if wanted is None else min(max(least, int(wanted)), bound)
+def size_of(wanted: int | None) -> int | None:
+    """A requested size of at least one; ``None`` stays, and asks for everything."""
+    return None if wanted is None else max(1, int(wanted))

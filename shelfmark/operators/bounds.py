@@ -1,4 +1,4 @@
-"""Ordered answers with a bound: per request, or per group over a whole corpus."""
+"""Ordered answers: the first rows, one page after a cursor, or every row with its place."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import base64
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import with_rank
+
 SALTS = 32
 
 
@@ -31,9 +33,11 @@ def top_per_group(
     )
 
 
-def bounded(df: DataFrame, order: list[str], k: int, by: list[str] | None = None) -> DataFrame:
-    """The first ``k`` rows in ``order`` with a ``truncated`` flag that says whether
-    more rows matched: over all rows, or per group when ``by`` is given."""
+def bounded(df: DataFrame, order: list[str], k: int | None, by: list[str] | None = None) -> DataFrame:
+    """The first ``k`` rows in ``order`` (all for ``None``) with a ``truncated`` flag that says
+    whether more rows matched: over all rows, or per group when ``by`` is given."""
+    if k is None:
+        return df.withColumn("truncated", F.lit(False))
     if by:
         ranked = top_per_group(df, by, order, k + 1, rank="_rank")
         group = Window.partitionBy(*by)
@@ -56,14 +60,47 @@ def decode_cursor(cursor: str) -> str:
     return base64.urlsafe_b64decode(cursor.encode("ascii")).decode("utf-8")
 
 
-def page_after(df: DataFrame, key: str, limit: int, cursor: str | None = None) -> DataFrame:
+def cursor_of(key: Column) -> Column:
+    """Column form of ``encode_cursor``."""
+    return F.translate(F.base64(key.cast("binary")), "+/", "-_")
+
+
+def after(df: DataFrame, key: str, cursor: str | None) -> DataFrame:
+    """Rows strictly after ``cursor`` in key order; a test that reaches the scan."""
+    return df if cursor is None else df.where(F.col(key) > F.lit(decode_cursor(cursor)))
+
+
+def page_after(df: DataFrame, key: str, limit: int | None, cursor: str | None = None) -> DataFrame:
     """One keyset page: rows strictly after ``cursor`` in key order, plus a
     ``next_cursor`` column that is null once nothing remains."""
-    rest = df if cursor is None else df.where(F.col(key) > F.lit(decode_cursor(cursor)))
+    rest = after(df, key, cursor)
+    if limit is None:
+        return rest.withColumn("next_cursor", F.lit(None).cast("string"))
     page = bounded(rest, [key], limit)
     last = F.max(key).over(Window.partitionBy(F.lit(0)))
-    token = F.translate(F.base64(last.cast("binary")), "+/", "-_")
-    return page.withColumn("next_cursor", F.when(F.col("truncated"), token)).drop("truncated")
+    return page.withColumn("next_cursor", F.when(F.col("truncated"), cursor_of(last))).drop("truncated")
+
+
+def paged(df: DataFrame, key: str, size: int, by: list[str] | None = None) -> DataFrame:
+    """Every page of a whole answer at once: ``ordinal`` (from 1) in key order, ``page_no``
+    and the ``next_cursor`` of that page, null on the last one.
+
+    ``key`` is unique in its group. Places come from range partitions and a count per
+    partition, so no group passes through one task, whatever its share of the rows. The
+    cursors are the keys of the rows that end a page, where another row opens the next:
+    two tables of a ``size``-th of the rows, met by page.
+    """
+    groups = by or []
+    placed = with_rank(df, groups, [key], "ordinal").withColumn(
+        "page_no", F.floor((F.col("ordinal") - 1) / size).cast("long") + 1
+    )
+    opens = placed.where(F.pmod(F.col("ordinal") - 1, F.lit(size)) == 0)
+    ends = placed.where(F.pmod(F.col("ordinal"), F.lit(size)) == 0).select(
+        *groups, "page_no", cursor_of(F.col(key)).alias("next_cursor")
+    )
+    followed = opens.select(*groups, (F.col("page_no") - 1).alias("page_no"))
+    cursors = ends.join(followed, [*groups, "page_no"], "left_semi")
+    return placed.join(cursors, [*groups, "page_no"], "left")
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import limits
 from ..functions import dialect, keys, paths
 from ..schemas import EXTRACTION_STATUSES
-from .bounds import all_of, bounded, page_after
+from .bounds import after, all_of, bounded, page_after, paged
 
 PK = ["tenant_id", "namespace", "path"]
 NAMESPACE = ["tenant_id", "namespace"]
@@ -41,22 +41,35 @@ def list_entries(
     namespace: str,
     prefix: str = "",
     cursor: str | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     include_deleted: bool = False,
 ) -> DataFrame:
     """One listing page of a namespace in path order, with ``next_cursor``."""
     rows = in_namespace(live(entries, include_deleted), tenant_id, namespace)
     if prefix:
         rows = rows.where(F.startswith("path", F.lit(prefix)))
-    return page_after(rows, "path", limits.clamp(limit, limits.LIST_RESULTS), cursor)
+    return page_after(rows, "path", limits.size_of(limit), cursor)
 
 
-def list_first_pages(entries: DataFrame, prefix: str = "", limit: int = 100) -> DataFrame:
+def list_first_pages(entries: DataFrame, prefix: str = "", limit: int | None = 100) -> DataFrame:
     """The first listing page of every namespace of every tenant."""
     rows = live(entries)
     if prefix:
         rows = rows.where(F.startswith("path", F.lit(prefix)))
-    return bounded(rows, ["path"], limits.clamp(limit, limits.LIST_RESULTS), by=NAMESPACE)
+    return bounded(rows, ["path"], limits.size_of(limit), by=NAMESPACE)
+
+
+def in_pages(answer: DataFrame, size: int = 100) -> DataFrame:
+    """A whole answer over (tenant_id, namespace, path), such as ``glob`` or ``find`` without a
+    limit, cut into pages per namespace: each row has its ``ordinal``, its ``page_no`` and the
+    cursor that opens the next page. That cursor resumes ``glob``, ``find`` or ``list_entries``."""
+    return paged(answer, "path", limits.size_of(size), NAMESPACE)
+
+
+def list_pages(entries: DataFrame, prefix: str = "", size: int = 100) -> DataFrame:
+    """Every listing page of every namespace."""
+    rows = live(entries)
+    return in_pages(rows.where(F.startswith("path", F.lit(prefix))) if prefix else rows, size)
 
 
 def stat(entries: DataFrame, requests: DataFrame) -> DataFrame:
@@ -70,15 +83,22 @@ def stat(entries: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(known, PK, "left").withColumn("error", error).drop("_found")
 
 
-def _limited(rows: DataFrame, limit: int, bound: int, per_namespace: bool) -> DataFrame:
-    return bounded(rows, ["path"], limits.clamp(limit, bound), NAMESPACE if per_namespace else None)
+def _limited(rows: DataFrame, limit: int | None, cursor: str | None, per_namespace: bool) -> DataFrame:
+    rest = after(rows, "path", cursor)
+    return bounded(rest, ["path"], limits.size_of(limit), NAMESPACE if per_namespace else None)
 
 
-def glob(entries: DataFrame, pattern: str, limit: int = 100, per_namespace: bool = False) -> DataFrame:
-    """Live paths that match a glob, in path order. Give one namespace's rows, or a
-    whole corpus with ``per_namespace``."""
+def glob(
+    entries: DataFrame,
+    pattern: str,
+    limit: int | None = 100,
+    per_namespace: bool = False,
+    cursor: str | None = None,
+) -> DataFrame:
+    """Live paths that match a glob: the first ``limit`` in path order after ``cursor``, or all
+    for ``None``. Give one namespace's rows, or a whole corpus with ``per_namespace``."""
     rows = live(entries).where(dialect.matches_glob(F.col("path"), pattern)).select(*PK)
-    return _limited(rows, limit, limits.GLOB_RESULTS, per_namespace)
+    return _limited(rows, limit, cursor, per_namespace)
 
 
 def find(
@@ -89,10 +109,11 @@ def find(
     min_size: int | None = None,
     max_size: int | None = None,
     modified_after: datetime | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     per_namespace: bool = False,
+    cursor: str | None = None,
 ) -> DataFrame:
-    """Glob and metadata filters; size bounds are inclusive."""
+    """Glob and metadata filters; size bounds are inclusive. ``limit`` and ``cursor`` as for ``glob``."""
     tests = [dialect.matches_glob(F.col("path"), pattern)]
     if content_type:
         tests.append(content_type_is(F.col("content_type"), content_type))
@@ -111,11 +132,11 @@ def find(
         F.col("extraction.status").alias("status"),
         paths.iso8601(F.col("updated_at")).alias("updated_at"),
     )
-    return _limited(rows, limit, limits.FIND_RESULTS, per_namespace)
+    return _limited(rows, limit, cursor, per_namespace)
 
 
 def by_status(
-    entries: DataFrame, status: str, limit: int = 100, cursor: str | None = None
+    entries: DataFrame, status: str, limit: int | None = 100, cursor: str | None = None
 ) -> DataFrame:
     """One page of a tenant-spanning backlog: live rows of one extraction status, in
     primary-key order."""
@@ -123,7 +144,7 @@ def by_status(
         raise ValueError(f"unknown extraction status: {status}")
     rows = live(entries).where(F.col("extraction.status") == status)
     keyed = rows.withColumn("pk", F.concat_ws("\u0000", *PK))
-    return page_after(keyed, "pk", limits.clamp(limit, limits.LIST_RESULTS), cursor).drop("pk")
+    return page_after(keyed, "pk", limits.size_of(limit), cursor).drop("pk")
 
 
 def find_by_checksum(entries: DataFrame, wanted: DataFrame) -> DataFrame:

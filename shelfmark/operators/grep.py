@@ -146,9 +146,9 @@ def grep_bounded(
     path_glob: str = "*",
     ignore_case: bool = True,
     context_lines: int = 0,
-    max_files: int | None = None,
-    max_matches: int | None = None,
-    max_matches_per_file: int | None = None,
+    max_files: int = limits.GREP_FILES,
+    max_matches: int = limits.GREP_MATCHES,
+    max_matches_per_file: int = limits.GREP_MATCHES_PER_FILE,
     content_type: str | None = None,
     files_with_matches: bool = False,
     byte_budget: int = limits.GREP_BYTES,
@@ -166,18 +166,15 @@ def grep_bounded(
     if within:
         entries, pages = in_namespace(entries, *within), in_namespace(pages, *within)
     around = min(context_lines, limits.GREP_CONTEXT_LINES)
-    most_files = limits.clamp(max_files, limits.GREP_FILES)
-    most = limits.clamp(max_matches, limits.GREP_MATCHES)
-    per_file = limits.clamp(max_matches_per_file, limits.GREP_MATCHES_PER_FILE)
-    if files_with_matches:
-        per_file = 1
+    most_files, most = max(1, max_files), max(1, max_matches)
+    per_file = 1 if files_with_matches else max(1, max_matches_per_file)
     everyone = _candidates(entries, path_glob, content_type)
     picked = top_per_group(everyone, NAMESPACE, ["path"], most_files + 1, rank="_file")
     files = picked.where(F.col("_file") <= most_files)
 
     if within:
-        # One namespace has at most ``max_files`` rows here, 200 at the very most.
-        pages = pages.join(F.broadcast(files.select(*DOC)), DOC, "left_semi")
+        # Written first, so that Spark knows the size of the chosen files and broadcasts few.
+        pages = pages.join(cut_lineage(files.select(*DOC)), DOC, "left_semi")
     read_rows = (
         page_hits(pages, pattern, ignore_case, around, per_file)
         .select(*DOC, "page", F.octet_length("text").cast("long").alias("_bytes"), "hits")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import limits
 from ..session import scratch_path
 from .blocks import BLOCK, with_blocks
-from .bounds import bounded
+from .bounds import after, bounded, paged
 
 OWNER = ["tenant_id", "principal_id"]
 
@@ -37,10 +37,22 @@ def scratch_state_usage(state: DataFrame) -> DataFrame:
     )
 
 
-def scratch_list(state: DataFrame, prefix: str = "", limit: int | None = None) -> DataFrame:
-    """Every principal's files below a prefix, in path order, up to the listing bound."""
+def scratch_list(
+    state: DataFrame,
+    prefix: str = "",
+    limit: int | None = limits.SCRATCH_LIST_RESULTS,
+    cursor: str | None = None,
+) -> DataFrame:
+    """Every principal's files below a prefix: the first ``limit`` in path order after
+    ``cursor``, or all for ``None``."""
     rows = state.where(F.startswith("path", F.lit(prefix))) if prefix else state
-    return bounded(rows, ["path"], limits.clamp(limit, limits.SCRATCH_LIST_RESULTS), by=OWNER)
+    return bounded(after(rows, "path", cursor), ["path"], limits.size_of(limit), by=OWNER)
+
+
+def scratch_pages(state: DataFrame, prefix: str = "", size: int = limits.SCRATCH_LIST_RESULTS) -> DataFrame:
+    """Every listing page of every principal, with the cursor of the next."""
+    rows = state.where(F.startswith("path", F.lit(prefix))) if prefix else state
+    return paged(rows, "path", limits.size_of(size), OWNER)
 
 
 # --- admission -----------------------------------------------------------------

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions import text as tx
+from .blocks import with_rank
+from .bounds import top_per_group
 from .catalog import PK
 from .text import DOC, readable_documents
 
@@ -54,37 +56,57 @@ def _spans(lines: Column) -> Column:
     return F.aggregate(starts, begin, step, lambda state: state["spans"])
 
 
-def page_tables(pages: DataFrame) -> DataFrame:
-    """One row per table: page, first line, header cells, body cells and row count."""
-    body = F.col("_s.stop") - F.col("_s.first") - 2
-    shown = F.slice("_lines", F.col("_s.first") + 3, F.least(F.greatest(body, F.lit(0)), F.lit(limits.TABLE_ROWS)))
+def page_tables(
+    pages: DataFrame, max_tables: int | None = limits.TABLES, max_rows: int | None = limits.TABLE_ROWS
+) -> DataFrame:
+    """One row per table: page, first line, header cells, body cells and row count. ``None``
+    keeps all tables of a page, or all body rows."""
+    body = F.greatest(F.col("_s.stop") - F.col("_s.first") - 2, F.lit(0))
+    kept = body if max_rows is None else F.least(body, F.lit(max_rows))
+    shown = F.slice("_lines", F.col("_s.first") + 3, kept)
     cut = pages.where(F.contains("text", F.lit("|"))).select(
         *DOC, "page", tx.split_lines(F.col("text")).alias("_lines")
     )
-    spans = F.slice(_spans(F.col("_lines")), 1, limits.TABLES)
+    spans = _spans(F.col("_lines"))
+    if max_tables is not None:
+        spans = F.slice(spans, 1, max_tables)
     return tx.explode_once(cut, [*DOC, "page", "_lines"], spans, "_s").select(
         *DOC,
         "page",
         (F.col("_s.first") + 1).alias("line"),
         tx.table_cells(F.get("_lines", F.col("_s.first"))).alias("header"),
         F.transform(shown, tx.table_cells).alias("rows"),
-        F.greatest(body, F.lit(0)).alias("row_count"),
+        body.alias("row_count"),
     )
 
 
-def tables(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tables of every readable document: first fifty pages, fifty tables, two
-    hundred body rows each; ``truncated`` is per document."""
-    found = page_tables(pages.where(F.col("page") <= limits.TABLE_PAGES))
-    # At most fifty pages of fifty tables reach one document's group.
-    order = Window.partitionBy(*DOC).orderBy("page", "line")
-    group = Window.partitionBy(*DOC)
-    kept = found.withColumn("table_no", F.row_number().over(order)).where(
-        F.col("table_no") <= limits.TABLES
-    )
-    cut = (F.max("table_no").over(group) >= limits.TABLES) | (
-        F.max("row_count").over(group) > limits.TABLE_ROWS
-    )
+def tables(
+    entries: DataFrame,
+    pages: DataFrame,
+    max_pages: int | None = limits.TABLE_PAGES,
+    max_tables: int | None = limits.TABLES,
+    max_rows: int | None = limits.TABLE_ROWS,
+) -> DataFrame:
+    """Tables of every readable document: those of the first ``max_pages`` pages, the first
+    ``max_tables`` of them, ``max_rows`` body rows each; ``truncated`` is per document.
+    ``None`` lifts a bound; without one on tables, their numbers come from range partitions."""
+    last_page, most, most_rows = (limits.size_of(n) for n in (max_pages, max_tables, max_rows))
+    seen = pages if last_page is None else pages.where(F.col("page") <= last_page)
+    found = page_tables(seen, most, most_rows)
+    reading, group, cut = ["page", "line"], Window.partitionBy(*DOC), F.lit(False)
+    if most is None:
+        kept = with_rank(found, DOC, reading, "table_no")
+    else:
+        if last_page is None:
+            kept = top_per_group(found, DOC, reading, most, rank="table_no")
+        else:
+            # Each page has at most ``most`` tables here: a document's group is small.
+            order = group.orderBy(*reading)
+            kept = found.withColumn("table_no", F.row_number().over(order)).where(F.col("table_no") <= most)
+        cut = F.max("table_no").over(group) >= most
+    if most_rows is not None:
+        cut = cut | (F.max("row_count").over(group) > most_rows)
+    beyond = F.lit(False) if last_page is None else F.col("page_count") > last_page
     return (
         kept.withColumn("_cut", cut)
         .join(readable_documents(entries), DOC)
@@ -95,7 +117,7 @@ def tables(entries: DataFrame, pages: DataFrame) -> DataFrame:
             "line",
             "header",
             "rows",
-            (F.col("_cut") | (F.col("page_count") > limits.TABLE_PAGES)).alias("truncated"),
+            (F.col("_cut") | beyond).alias("truncated"),
         )
     )
 

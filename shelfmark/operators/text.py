@@ -14,6 +14,8 @@ from .. import limits
 from ..functions import keys
 from ..functions import text as tx
 from ..session import cut_lineage, fits_broadcast
+from .blocks import with_rank
+from .bounds import top_per_group
 from .catalog import PK, extracted_only, live
 
 DOC = ["tenant_id", "namespace", "entry_id"]
@@ -37,9 +39,11 @@ def readable_documents(entries: DataFrame) -> DataFrame:
     )
 
 
-def read_plan(entries: DataFrame, requests: DataFrame) -> DataFrame:
-    """Clamp every request (start_page, end_page) to its document: at most twenty
-    pages, with the range, the truncation flag and an error instead of a failure."""
+def read_plan(
+    entries: DataFrame, requests: DataFrame, max_pages: int | None = limits.READ_PAGES
+) -> DataFrame:
+    """Fit every request (start_page, end_page) to its document: at most ``max_pages`` pages, or
+    all for ``None``, with the range, the truncation flag and an error instead of a failure."""
     known = live(entries).select(
         *PK,
         "entry_id",
@@ -54,11 +58,13 @@ def read_plan(entries: DataFrame, requests: DataFrame) -> DataFrame:
     pages = F.col("page_count")
     start = F.greatest(F.lit(1), F.coalesce(F.col("start_page"), F.lit(1)))
     wanted = F.least(F.coalesce(F.col("end_page"), pages), pages)
+    most = limits.size_of(max_pages)
+    stop = wanted if most is None else F.least(wanted, start + (most - 1))
     return (
         requests.join(known, PK, "left")
         .withColumn("error", error)
         .withColumn("range_start", start)
-        .withColumn("_stop", F.least(wanted, start + (limits.READ_PAGES - 1)))
+        .withColumn("_stop", stop)
         .withColumn(
             "truncated",
             F.coalesce(F.col("_stop") < pages, F.lit(False))
@@ -69,13 +75,15 @@ def read_plan(entries: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Page ranges of many documents at once. A request without pages to show still
+def read(
+    entries: DataFrame, pages: DataFrame, requests: DataFrame, max_pages: int | None = limits.READ_PAGES
+) -> DataFrame:
+    """Page ranges of many documents at once, a row per page. A request without pages to show still
     answers with one row whose ``page`` is null."""
     # The plan is written down before it meets the text: if the requests are few, Spark
     # sees their true size and broadcasts them, and no page is moved. Which requests have
     # no page to show is found from the key columns alone.
-    plan = cut_lineage(read_plan(entries, requests))
+    plan = cut_lineage(read_plan(entries, requests, max_pages))
     # Own names on the page side: callers may derive requests from the same tables.
     text = pages.select(*(F.col(c).alias(f"_{c}") for c in DOC), F.col("page").alias("page"), F.col("text").alias("text"))
     held = text.drop("text")
@@ -89,7 +97,9 @@ def read(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     return shown.unionByName(unanswered.select(*(c for c in answer if c not in ("page", "text")), *nothing))
 
 
-def page_headings(pages: DataFrame, per_page: int | None = None) -> DataFrame:
+def page_headings(
+    pages: DataFrame, per_page: int | None = None, title_chars: int | None = limits.OUTLINE_TITLE_CHARS
+) -> DataFrame:
     """Headings of every page (the first ``per_page``, or all), found inside the row; headings in code fences count."""
     numbered = F.transform(
         tx.split_lines(F.col("text")),
@@ -105,22 +115,38 @@ def page_headings(pages: DataFrame, per_page: int | None = None) -> DataFrame:
         "page",
         F.col("_h.line").alias("line"),
         tx.heading_level(F.col("_h.raw")).alias("level"),
-        tx.heading_title(F.col("_h.raw")).alias("title"),
+        tx.heading_title(F.col("_h.raw"), title_chars).alias("title"),
     )
 
 
-def outline(entries: DataFrame, pages: DataFrame, max_headings: int | None = None) -> DataFrame:
-    """Headings of every readable document in reading order: at most fifty pages are
-    looked at and ``max_headings`` kept, and ``truncated`` tells when either bit."""
-    most = limits.clamp(max_headings, limits.OUTLINE_HEADINGS)
-    heads = page_headings(pages.where(F.col("page") <= limits.OUTLINE_PAGES), most)
-    # Fifty pages with at most ``most`` headings each: a document's group is small.
-    order = Window.partitionBy(*DOC).orderBy("page", "line")
-    ranked = heads.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= most)
-    full = F.max("ordinal").over(Window.partitionBy(*DOC)) >= most
+def outline(
+    entries: DataFrame,
+    pages: DataFrame,
+    max_headings: int | None = limits.OUTLINE_HEADINGS,
+    max_pages: int | None = limits.OUTLINE_PAGES,
+    title_chars: int | None = limits.OUTLINE_TITLE_CHARS,
+) -> DataFrame:
+    """Headings of every readable document in reading order: ``max_pages`` pages are looked at
+    and ``max_headings`` kept, and ``truncated`` tells when either bit. ``None`` lifts a bound;
+    without the bound on headings, places come from range partitions, so that not even one
+    document of very many headings passes through one task."""
+    most, last_page = limits.size_of(max_headings), limits.size_of(max_pages)
+    seen = pages if last_page is None else pages.where(F.col("page") <= last_page)
+    heads = page_headings(seen, most, title_chars)
+    reading = ["page", "line"]
+    if most is None:
+        ranked = with_rank(heads, DOC, reading, "ordinal").withColumn("_full", F.lit(False))
+    else:
+        if last_page is None:
+            ranked = top_per_group(heads, DOC, reading, most, rank="ordinal")
+        else:
+            # Each page has at most ``most`` headings here: a document's group is small.
+            order = Window.partitionBy(*DOC).orderBy(*reading)
+            ranked = heads.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= most)
+        ranked = ranked.withColumn("_full", F.max("ordinal").over(Window.partitionBy(*DOC)) >= most)
+    beyond = F.lit(False) if last_page is None else F.col("page_count") > last_page
     return (
-        ranked.withColumn("_full", full)
-        .join(readable_documents(entries), DOC)
+        ranked.join(readable_documents(entries), DOC)
         .select(
             *PK,
             "ordinal",
@@ -128,7 +154,7 @@ def outline(entries: DataFrame, pages: DataFrame, max_headings: int | None = Non
             "title",
             "page",
             "page_count",
-            (F.col("_full") | (F.col("page_count") > limits.OUTLINE_PAGES)).alias("truncated"),
+            (F.col("_full") | beyond).alias("truncated"),
         )
     )
 
@@ -188,10 +214,13 @@ def section_ranges(
     return requests.join(ends, [*PK, "section"], "left")
 
 
-def read_section(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """The pages of named sections; an unknown section is a row with ``error``."""
+def read_section(
+    entries: DataFrame, pages: DataFrame, requests: DataFrame, max_pages: int | None = limits.READ_PAGES
+) -> DataFrame:
+    """The pages of named sections, ``max_pages`` of each or all for ``None``; an unknown
+    section is a row with ``error``."""
     ranges = section_ranges(entries, pages, requests)
-    answer = read(entries, pages, ranges).withColumn(
+    answer = read(entries, pages, ranges, max_pages).withColumn(
         "_missed", F.col("error").isNull() & F.col("end_page").isNull()
     )
     missed = F.col("_missed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions import text as tx
+from .blocks import with_rank
 from .bounds import bounded
 from .catalog import NAMESPACE, live
 
@@ -48,15 +49,15 @@ def tree_rollup(entries: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def tree_rows(
-    entries: DataFrame, prefix: str = "", max_entries: int | None = None
+    entries: DataFrame, prefix: str = "", max_entries: int | None = limits.TREE_ENTRIES
 ) -> DataFrame:
-    """Lines of the indented listing of every namespace: folders before files at each
-    level, both sorted; ``sort_key`` puts a namespace's lines in order."""
+    """Lines of the indented listing of every namespace (of its first ``max_entries`` paths, or
+    of all for ``None``): folders before files at each level, both sorted; ``sort_key`` puts a
+    namespace's lines in order."""
     rows = live(entries)
     if prefix:
         rows = rows.where(F.startswith("path", F.lit(prefix)))
-    most = limits.clamp(max_entries, limits.TREE_ENTRIES)
-    listed = bounded(rows.select(*NAMESPACE, "path"), ["path"], most, by=NAMESPACE)
+    listed = bounded(rows.select(*NAMESPACE, "path"), ["path"], limits.size_of(max_entries), by=NAMESPACE)
     parts = F.col("_parts")
     depth = F.size(parts) - 1
 
@@ -90,9 +91,17 @@ def tree_rows(
     )
 
 
-def tree(entries: DataFrame, prefix: str = "", max_entries: int | None = None) -> DataFrame:
+def tree_lines(entries: DataFrame, prefix: str = "") -> DataFrame:
+    """The whole indented listing of every namespace, a numbered row per line. Lines get their
+    numbers from range partitions, so a namespace is never gathered; a range of ``line_no``
+    is one piece of the listing."""
+    rows = tree_rows(entries, prefix, max_entries=None).drop("truncated")
+    return with_rank(rows, NAMESPACE, ["sort_key"], "line_no")
+
+
+def tree(entries: DataFrame, prefix: str = "", max_entries: int = limits.TREE_ENTRIES) -> DataFrame:
     """One rendered listing per namespace with folder and file counts. The text is
-    built from at most ``max_entries`` paths, so its group is small."""
+    built from at most ``max_entries`` paths, so its group is small; ``tree_lines`` has all."""
     rows = tree_rows(entries, prefix, max_entries)
     line = F.concat(
         F.repeat(F.lit("  "), F.col("depth")),

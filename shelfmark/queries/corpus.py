@@ -259,6 +259,38 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHELVES = 5
+
+
+def _shelves(parts: DataFrame) -> DataFrame:
+    path = F.concat(F.lit("shelf/"), F.pmod("p_partkey", F.lit(SHELVES)).cast("string"), F.lit(".md"))
+    return (
+        parts.withColumn("tenant_id", F.lit("acme"))
+        .withColumn("namespace", F.lit("shelves"))
+        .withColumn("path", path)
+        .withColumn("entry_id", paths.entry_id(F.lit("acme"), F.lit("shelves"), F.col("path")))
+        .withColumn("page", F.floor(F.col("p_partkey") / SHELVES).cast("int") + 1)
+    )
+
+
+def shelf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few long documents: each part's card is a page of its shelf."""
+    text = F.concat(F.lit("about | "), "p_name", F.lit("\n\n"), tx.table_to_markdown(card_rows()), F.lit("\n\nend"))
+    return _shelves(table(spark, sf_dir, "part")).select(
+        "tenant_id", "namespace", "entry_id", "page", text.alias("text")
+    )
+
+
+def shelf_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _shelves(table(spark, sf_dir, "part"))
+    return rows.groupBy("tenant_id", "namespace", "path", "entry_id").agg(F.max("page").alias("_last")).select(
+        "tenant_id", "namespace", "path", "entry_id",
+        F.lit("text/markdown").alias("content_type"),
+        F.struct(F.lit("extracted").alias("status"), F.col("_last").alias("page_count")).alias("extraction"),
+        F.lit(None).cast("timestamp").alias("deleted_at"),
+    )
+
+
 # --- stored objects against a catalog that drifted -----------------------------
 
 
@@ -310,6 +342,17 @@ catalog AS (
 )"""
 
 
+def in_pages(answer: str, key: str, size: int, by: str = "") -> str:
+    """SQL: every row of ``answer``, a table or subquery, with its place, page and next cursor."""
+    group = f"PARTITION BY {by}" if by else ""
+    page = f"PARTITION BY {by}, page_no" if by else "PARTITION BY page_no"
+    return f"""
+SELECT * EXCLUDE (n), CASE WHEN page_no * {size} < n
+  THEN translate(to_base64(CAST(max({key}) OVER ({page}) AS BLOB)), '+/', '-_') END AS next_cursor
+FROM (SELECT *, (ordinal - 1) // {size} + 1 AS page_no FROM (
+  SELECT *, row_number() OVER ({group} ORDER BY {key}) AS ordinal, count(*) OVER ({group}) AS n FROM {answer}))"""
+
+
 def with_views(*views: str) -> str:
     """A WITH clause of the named views."""
     return "WITH " + ",".join(views)

@@ -62,6 +62,46 @@ def _list_page(spark, d):
     return rows.select("tenant_id", "namespace", "path", "entry_id", "size", "content_type", "truncated")
 
 
+SPACE = "tenant_id, namespace"
+
+
+@queries.add(
+    "list_all",
+    c.with_views(c.ENTRIES)
+    + c.in_pages(f"(SELECT tenant_id, namespace, path, size FROM entries WHERE {LIVE})", "path", 40, SPACE),
+)
+def _list_all(spark, d):
+    rows = catalog.list_pages(c.entries(spark, d), size=40)
+    return rows.select("tenant_id", "namespace", "path", "size", "ordinal", "page_no", "next_cursor")
+
+
+@queries.add(
+    "glob_all",
+    c.with_views(c.ENTRIES)
+    + c.in_pages(
+        f"(SELECT tenant_id, namespace, path FROM entries WHERE {LIVE} AND path GLOB 'src*/*[02468].md')", "path", 25, SPACE
+    ),
+)
+def _glob_all(spark, d):
+    found = catalog.glob(c.entries(spark, d), "src*/*[02468].md", limit=None, per_namespace=True)
+    return catalog.in_pages(found.drop("truncated"), 25)
+
+
+@queries.add(
+    "find_all",
+    c.with_views(c.ENTRIES)
+    + c.in_pages(
+        "(SELECT tenant_id, namespace, path, size, content_type, status, "
+        "strftime(updated_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS updated_at "
+        f"FROM entries WHERE {LIVE} AND content_type LIKE 'text/%' AND size >= 200)",
+        "path", 50, SPACE,
+    ),
+)
+def _find_all(spark, d):
+    found = catalog.find(c.entries(spark, d), content_type="text/", min_size=200, limit=None, per_namespace=True)
+    return catalog.in_pages(found.drop("truncated"), 50)
+
+
 @queries.add(
     "list_after",
     f"""{c.with_views(c.ENTRIES)}, rest AS (
@@ -236,9 +276,10 @@ def _rollup(spark, d):
     return tree.tree_rollup(c.entries(spark, d))
 
 
-TREE = c.with_views(c.ENTRIES, PARTS) + """, listed AS (
+LISTED = """, listed AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, namespace ORDER BY path) AS rk,
-                        count(*) OVER (PARTITION BY tenant_id, namespace) > 60 AS truncated FROM parts) WHERE rk <= 60),
+                        count(*) OVER (PARTITION BY tenant_id, namespace) > 60 AS truncated FROM parts) WHERE rk <= 60)"""
+TREE_LINES = """,
 tree_lines AS (
   SELECT DISTINCT tenant_id, namespace, truncated, i - 1 AS depth, p[i] AS name, true AS is_dir,
          array_to_string(list_transform(p[1:i], lambda s: '0' || s || '!'), '') AS k
@@ -247,6 +288,17 @@ tree_lines AS (
   SELECT tenant_id, namespace, truncated, len(p) - 1, p[-1], false,
          array_to_string(list_transform(p[1:len(p) - 1], lambda s: '0' || s || '!'), '') || '1' || p[-1]
   FROM listed)"""
+TREE = c.with_views(c.ENTRIES, PARTS) + LISTED + TREE_LINES
+
+
+@queries.add(
+    "tree_all",
+    c.with_views(c.ENTRIES, PARTS) + ", listed AS (SELECT *, false AS truncated FROM parts)" + TREE_LINES + """
+SELECT tenant_id, namespace, depth, name, is_dir,
+       row_number() OVER (PARTITION BY tenant_id, namespace ORDER BY k) AS line_no FROM tree_lines""",
+)
+def _tree_all(spark, d):
+    return tree.tree_lines(c.entries(spark, d)).drop("sort_key")
 
 
 @queries.add(
@@ -315,6 +367,39 @@ def _read(spark, d):
     )
 
 
+@queries.add(
+    "read_all",
+    c.with_views(c.ENTRIES, c.LINES, c.PAGES) + f""", plan AS (
+  SELECT tenant_id, namespace, path, entry_id,
+         CASE WHEN deleted THEN 'not_found' WHEN status <> 'extracted' THEN 'catalog_only' END AS error,
+         CASE WHEN {LIVE} THEN coalesce(page_count, 0) END AS page_count
+  FROM entries)
+SELECT p.tenant_id, p.namespace, p.path, t.page, md5(t.text) AS text_md5, p.page_count, 1 AS range_start,
+       greatest(coalesce(p.page_count, 0), 1) AS range_end, false AS truncated, p.error
+FROM plan p LEFT JOIN doc_pages t ON p.error IS NULL AND t.tenant_id = p.tenant_id AND t.namespace = p.namespace
+  AND t.entry_id = p.entry_id AND t.page <= p.page_count""",
+)
+def _read_all(spark, d):
+    nothing = F.lit(None).cast("int")
+    asked = read_requests(spark, d).withColumn("start_page", nothing).withColumn("end_page", nothing)
+    rows = text.read(c.entries(spark, d), c.pages(spark, d), asked, max_pages=None)
+    return rows.select(
+        "tenant_id", "namespace", "path", "page", F.md5("text").alias("text_md5"), "page_count",
+        "range_start", "range_end", "truncated", "error",
+    )
+
+
+@queries.add(
+    "outline_all",
+    c.with_views(c.CHAT_PAGES) + """
+SELECT tenant_id, namespace, path, row_number() OVER (PARTITION BY path ORDER BY page) AS ordinal, level, title,
+       page, page_count, false AS truncated FROM chat_pages""",
+)
+def _outline_all(spark, d):
+    everything = dict(max_headings=None, max_pages=None, title_chars=None)
+    return text.outline(c.chat_entries(spark, d), c.chat_pages(spark, d), **everything)
+
+
 @queries.add(
     "outline",
     c.with_views(c.CHAT_PAGES) + """
@@ -325,29 +410,40 @@ def _outline(spark, d):
     return text.outline(c.chat_entries(spark, d), c.chat_pages(spark, d))
 
 
-@queries.add(
-    "read_section",
-    c.with_views(c.CHAT_PAGES) + """, target AS (
-  SELECT path, min(page) AS start_page FROM chat_pages WHERE title LIKE '%assistant%' AND page <= 50 GROUP BY path),
+def sections(last: str) -> str:
+    """SQL: the pages of each conversation's first assistant section, up to page ``last``."""
+    return c.with_views(c.CHAT_PAGES) + f""", target AS (
+  SELECT path, min(page) AS start_page FROM chat_pages WHERE title LIKE '%assistant%' GROUP BY path),
 ends AS (
   SELECT t.path, t.start_page, coalesce(min(n.page), max(h.page_count)) AS end_page
   FROM target t JOIN chat_pages h ON h.path = t.path AND h.page = t.start_page
-  LEFT JOIN chat_pages n ON n.path = t.path AND n.page > t.start_page AND n.page <= 50 AND n.level <= h.level
+  LEFT JOIN chat_pages n ON n.path = t.path AND n.page > t.start_page AND n.level <= h.level
   GROUP BY t.path, t.start_page)
 SELECT DISTINCT c.tenant_id, c.namespace, c.path, e.start_page, p.page, md5(p.text) AS text_md5,
        CASE WHEN e.path IS NULL THEN 'no_section' END AS error
 FROM chat_pages c LEFT JOIN ends e ON e.path = c.path
-LEFT JOIN chat_pages p ON p.path = e.path AND p.page BETWEEN e.start_page AND least(e.end_page, e.start_page + 19)""",
-)
-def _section(spark, d):
+LEFT JOIN chat_pages p ON p.path = e.path AND p.page BETWEEN e.start_page AND {last}"""
+
+
+def first_assistant_section(spark, d, **how):
     entries = c.chat_entries(spark, d)
     asked = entries.select("tenant_id", "namespace", "path").withColumn("section", F.lit(" Assistant "))
-    rows = text.read_section(entries, c.chat_pages(spark, d), asked)
+    rows = text.read_section(entries, c.chat_pages(spark, d), asked, **how)
     return rows.select(
         "tenant_id", "namespace", "path", "start_page", "page", F.md5("text").alias("text_md5"), "error"
     )
 
 
+@queries.add("read_section", sections("least(e.end_page, e.start_page + 19)"))
+def _section(spark, d):
+    return first_assistant_section(spark, d)
+
+
+@queries.add("section_all", sections("e.end_page"))
+def _section_all(spark, d):
+    return first_assistant_section(spark, d, max_pages=None)
+
+
 @queries.add(
     "tables",
     """SELECT 'part/' || lpad(CAST(p_partkey AS VARCHAR), 12, '0') || '.md' AS path, 1 AS table_no, 1 AS page, 3 AS line, false AS truncated, r AS "row", k AS col,
@@ -360,6 +456,20 @@ def _tables(spark, d):
     return tables.table_values(found, ["path", "table_no", "page", "line", "truncated"])
 
 
+@queries.add(
+    "tables_all",
+    f"""SELECT 'shelf/' || p_partkey % {c.SHELVES} || '.md' AS path, row_number() OVER (PARTITION BY p_partkey % {c.SHELVES}, r, k ORDER BY p_partkey) AS table_no,
+       p_partkey // {c.SHELVES} + 1 AS page, 3 AS line, false AS truncated, r AS "row", k AS col,
+       CASE k WHEN 1 THEN ['field', 'name', 'brand', 'type', 'size'][r + 1]
+              ELSE ['value', p_name, p_brand, p_type, CAST(p_size AS VARCHAR)][r + 1] END AS value
+FROM part, range(0, 5) a(r), range(1, 3) b(k)""",
+)
+def _tables_all(spark, d):
+    everything = dict(max_pages=None, max_tables=None, max_rows=None)
+    found = tables.tables(c.shelf_entries(spark, d), c.shelf_pages(spark, d), **everything)
+    return tables.table_values(found, ["path", "table_no", "page", "line", "truncated"])
+
+
 @queries.add(
     "table_render",
     """SELECT p_partkey, '| field | value |' || chr(10) || '| --- | --- |' || chr(10) || '| name | ' || trim(p_name) || ' |' || chr(10)

@@ -41,6 +41,22 @@ SELECT h.tenant_id, h.namespace, h.path, h.page, h.line, substr(h.line_text, 1,
 FROM hits h WHERE rk <= 10"""
 
 
+@queries.add(
+    "grep_all_context",
+    CONTEXT_SQL.replace("substr(h.line_text, 1, 300)", "h.line_text")
+    .replace("substr(l.line_text, 1, 300)", "l.line_text")
+    .replace("WHERE rk <= 10", "WHERE h.path GLOB 'src*.md'"),
+)
+def _all_context(spark, d):
+    found = grep.grep(
+        c.entries(spark, d), c.pages(spark, d), "stion the|de la", "src*.md", context_lines=2, line_chars=None
+    )
+    return found.select(
+        "tenant_id", "namespace", "path", "page", "line", "text",
+        F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"),
+    )
+
+
 @queries.add("grep_context", CONTEXT_SQL)
 def _context(spark, d):
     most = limits.GREP_MATCHES_PER_FILE

@@ -428,6 +428,17 @@ def _list_objects(spark, d):
     return files.list_objects(c.stored_objects(spark, d), "tenants/globex/").select("key", "size")
 
 
+@queries.add(
+    "object_pages",
+    c.with_views(c.ENTRIES) + c.in_pages(
+        "(SELECT 'tenants/' || tenant_id || '/' || namespace || '/' || path AS key, size FROM entries)", "key", 1000
+    ),
+)
+def _object_pages(spark, d):
+    rows = files.object_pages(c.stored_objects(spark, d))
+    return rows.select("key", "size", "ordinal", "page_no", "next_cursor")
+
+
 @queries.add(
     "stat_objects",
     c.with_views(c.ENTRIES) + """, o AS (SELECT 'tenants/' || tenant_id || '/' || namespace || '/' || path AS key, size FROM entries)

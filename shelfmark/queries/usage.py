@@ -86,6 +86,14 @@ def _list(spark, d):
     return rows.select("tenant_id", "principal_id", "path", "truncated")
 
 
+@queries.add(
+    "scratch_all",
+    "WITH " + SCRATCH + c.in_pages("(SELECT tenant_id, principal_id, path, size FROM files)", "path", 5, "tenant_id, principal_id"),
+)
+def _list_all(spark, d):
+    return ledger.scratch_pages(ledger.scratch_state(scratch_log(spark, d)), size=5)
+
+
 REPLAY = "WITH RECURSIVE " + LEDGER + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY principal_id ORDER BY seq) AS n FROM ledger),
 walk AS (
   SELECT tenant_id, principal_id, seq, delta_bytes, n, NOT (delta_bytes > 0 AND delta_bytes > {QUOTA}) AS admitted,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import limits
 from ..functions import paths
-from ..operators.bounds import page_after
+from ..operators.bounds import page_after, paged
 from ..session import cut_lineage
 
 
@@ -86,11 +86,17 @@ def scan_prefix(objects: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def list_objects(
-    objects: DataFrame, prefix: str = "", cursor: str | None = None, limit: int = 1000
+    objects: DataFrame, prefix: str = "", cursor: str | None = None, limit: int | None = limits.LIST_RESULTS
 ) -> DataFrame:
     """One page of keys below a prefix, in key order, with ``next_cursor``."""
     rows = objects.where(F.startswith("key", F.lit(prefix))) if prefix else objects
-    return page_after(rows, "key", limits.clamp(limit, limits.LIST_RESULTS), cursor)
+    return page_after(rows, "key", limits.size_of(limit), cursor)
+
+
+def object_pages(objects: DataFrame, prefix: str = "", size: int = limits.LIST_RESULTS) -> DataFrame:
+    """Every page of keys below a prefix, with the cursor that opens the next."""
+    rows = objects.where(F.startswith("key", F.lit(prefix))) if prefix else objects
+    return paged(rows, "key", limits.size_of(size))
 
 
 def stat_objects(objects: DataFrame, keys: DataFrame) -> DataFrame:

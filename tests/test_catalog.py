@@ -69,6 +69,43 @@ def test_find_says_when_more_matched(shelf):
     assert {r.truncated for r in catalog.find(shelf, limit=4).collect()} == {False}
 
 
+def test_answers_have_no_bound_of_their_own(make_entries):
+    entries = make_entries(*[f"d/{i:04d}.md" for i in range(1203)])
+    assert catalog.glob(entries, "d/*", limit=None).count() == 1203
+    found = catalog.find(entries, pattern="d/*", limit=1100)
+    assert found.count() == 1100 and found.first().truncated
+    assert catalog.list_entries(entries, "dev", "handbook", limit=1200).count() == 1200
+    assert catalog.list_entries(entries, "dev", "handbook", limit=None).first().next_cursor is None
+    lines = tree.tree_lines(entries).orderBy("line_no").collect()
+    assert [(r.line_no, r.name) for r in lines[:2]] == [(1, "d"), (2, "0000.md")]
+    assert [r.name for r in lines[1:]] == [f"{i:04d}.md" for i in range(1203)]
+    assert [r.line_no for r in lines] == list(range(1, 1205))
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 8, 9])
+def test_every_page_has_the_cursor_of_the_next(make_entries, size):
+    """One namespace holds most rows; the pages met by their cursors are the whole answer."""
+    entries = make_entries(*[f"p{i}" for i in range(8)], dict(path="p0", ns="other"))
+    rows = catalog.in_pages(catalog.glob(entries, "*", None, True).drop("truncated"), size)
+    got = {}
+    for r in rows.orderBy("namespace", "ordinal").collect():
+        got.setdefault((r.namespace, r.page_no), []).append(r)
+    assert [r.ordinal for (ns, _), page in got.items() if ns == "handbook" for r in page] == list(range(1, 9))
+    assert all(len(page) <= size for page in got.values())
+    for (ns, number), page in got.items():
+        (cursor,) = {r.next_cursor for r in page}
+        more = got.get((ns, number + 1))
+        assert (cursor is None) == (more is None)
+        if more:
+            one = catalog.in_namespace(entries, "dev", ns)
+            resumed = catalog.glob(one, "*", limit=size, cursor=cursor)
+            assert sorted(r.path for r in resumed.collect()) == [r.path for r in more]
+
+
+def test_pages_of_nothing(make_entries):
+    assert catalog.list_pages(make_entries("a"), prefix="b").collect() == []
+
+
 def test_glob(shelf):
     assert values(catalog.glob(shelf, "*.md"), "path") == [("eng/arch.md",), ("onboarding/welcome.md",), ("policies/security.md",)]
     assert values(catalog.glob(shelf, "policies/*"), "path") == [("policies/leave.pdf",), ("policies/security.md",)]

@@ -170,6 +170,29 @@ def test_outline(guide):
     assert values(cut, "title", "truncated") == [("Intro", True), ("Setup", True)]
 
 
+def test_whole_answers_reach_the_last_page(spark, make_corpus):
+    """Eighty pages, five headings each; the section that is asked for starts on page sixty."""
+    title = "t" * 300
+    many = [f"## {n} {title}\n" + "\n".join(f"### {n}.{k}" for k in range(4)) + "\n\n| a |\n|---|\n| 1 |" for n in range(1, 81)]
+    many[59] = many[59].replace("## 60 ", "# Late ")
+    corpus = make_corpus({"long.md": many, "short.md": ["# One"]})
+    whole = text.outline(*corpus, max_headings=None, max_pages=None, title_chars=None)
+    rows = whole.where("path = 'long.md'").orderBy("ordinal").collect()
+    assert [r.ordinal for r in rows] == list(range(1, 401)) and not any(r.truncated for r in rows)
+    assert [r.page for r in rows] == [n for n in range(1, 81) for _ in range(5)]
+    assert rows[0].title == f"1 {title}"
+    some = text.outline(*corpus, max_headings=350, max_pages=None).where("path = 'long.md'").collect()
+    assert sorted(r.ordinal for r in some) == list(range(1, 351)) and all(r.truncated for r in some)
+    asked = ask(spark, ("long.md", "late"), schema="path string, section string")
+    assert sorted(r.page for r in text.read_section(*corpus, asked, max_pages=None).collect()) == list(range(60, 81))
+    assert sorted(r.page for r in text.read_section(*corpus, asked).collect()) == list(range(60, 80))
+    range_ = ask(spark, ("long.md", 2, None), schema="path string, start_page int, end_page int")
+    assert sorted(r.page for r in text.read(*corpus, range_, max_pages=None).collect()) == list(range(2, 81))
+    found = tables.tables(*corpus, max_pages=None, max_tables=None, max_rows=None).collect()
+    assert sorted((r.table_no, r.page) for r in found) == [(n, n) for n in range(1, 81)]
+    assert not any(r.truncated for r in found)
+
+
 def ask(spark, *rows, schema):
     return spark.createDataFrame([("dev", "handbook", *r) for r in rows], "tenant_id string, namespace string, " + schema)
 
@@ -263,6 +286,8 @@ def test_table_rows_are_capped(make_corpus):
     body = "\n".join(f"| {i} |" for i in range(250))
     row = tables.tables(*make_corpus({"big.md": [f"| n |\n|---|\n{body}"]})).first()
     assert len(row.rows) == limits.TABLE_ROWS and row.truncated
+    whole = tables.tables(*make_corpus({"big.md": [f"| n |\n|---|\n{body}"]}), max_rows=None).first()
+    assert len(whole.rows) == 250 and not whole.truncated
 
 
 def test_diff(spark, make_corpus):
