@@ -12,7 +12,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import limits
@@ -119,6 +119,28 @@ def diff(entries: DataFrame, pages: DataFrame, requests: DataFrame) -> DataFrame
     return worked.unionByName(plain)
 
 
+def unreadable_pairs(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Pairs that no comparison can answer, each with its ``error``: that of the first side, or
+    else of the second. Only catalog columns are read; ``diff_lines`` answers all other pairs,
+    and has no row for a pair without differences."""
+    states = live(entries).select(*NAMESPACE, "path", F.col("extraction.status").alias("_status"))
+
+    def side(name: str) -> DataFrame:
+        return states.withColumnsRenamed({"path": f"path_{name}", "_status": f"_{name}"})
+
+    def trouble(status: str) -> Column:
+        return F.when(F.col(status).isNull(), "not_found").when(F.col(status) != "extracted", "catalog_only")
+
+    return (
+        requests.select(*PAIR)
+        .distinct()
+        .join(side("a"), [*NAMESPACE, "path_a"], "left")
+        .join(side("b"), [*NAMESPACE, "path_b"], "left")
+        .select(*PAIR, F.coalesce(trouble("_a"), trouble("_b")).alias("error"))
+        .where(F.col("error").isNotNull())
+    )
+
+
 def _sides(entries: DataFrame, text: DataFrame, requests: DataFrame) -> DataFrame:
     """Both documents of every pair that can be read: (pair, document, _sign, _last page)."""
     asked = requests.select(*PAIR).where(F.col("path_a") != F.col("path_b")).distinct()

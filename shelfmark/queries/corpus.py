@@ -108,6 +108,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in the catalog."""
+    return _identity(table(spark, sf_dir, "documents")).select("doc_id", "tenant_id", "namespace", "path")
+
+
 ENTRIES = f"""
 entries AS (
   SELECT *, CASE WHEN status = 'extracted' THEN (n_lines + {PAGE_LINES - 1}) // {PAGE_LINES} END AS page_count,

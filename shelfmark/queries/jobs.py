@@ -13,9 +13,10 @@ from ..operators import upkeep
 from ..operators.blocks import with_rank, with_running_sum
 from ..operators.catalog import PK
 from ..plans import ingest, reconcile, sync
-from ..schemas import ENTRIES, PAGES
+from ..schemas import CHANGES, ENTRIES, PAGES
 from ..session import scratch_path
 from ..sinks import history, tables
+from ..sources import connector
 from ..sources.normalizers import NATIVE, Normalized, Normalizer, extract
 from ..streaming import jobs as streams
 from . import corpus as c
@@ -279,21 +280,50 @@ def _ingest_stream(spark, d):
     )
 
 
-@queries.add(
-    "delta_sync",
-    """WITH last AS (SELECT user_id, max(event_id) AS seq FROM events GROUP BY ALL)
-SELECT 'u' || e.user_id AS path, event_type AS version FROM events e JOIN last l ON l.user_id = e.user_id AND l.seq = e.event_id WHERE event_type <> 'error'""",
-)
-def _delta_sync(spark, d):
-    """Events as a change feed read by a stream; every batch is folded into the state
-    of the batch before it."""
-    feed, state = scratch_path(spark, "feed"), scratch_path(spark, "state")
+DELTA = """WITH last AS (SELECT user_id, max(event_id) AS seq FROM events GROUP BY ALL)
+SELECT 'u' || e.user_id AS path, event_type AS version FROM events e JOIN last l ON l.user_id = e.user_id AND l.seq = e.event_id WHERE event_type <> 'error'"""
+
+
+def change_rows(spark, d):
+    """Events as changes of the documents of their users."""
     none = F.lit(None).cast("string")
-    changes(spark, d).select(
+    return changes(spark, d).select(
         F.col("seq"), "op", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
         none.alias("locator"), F.lit(None).cast("long").alias("size"), none.alias("content_type"),
         F.col("state").alias("version"),
-    ).write.parquet(feed)
+    )
+
+
+@queries.add("connector_changes", DELTA)
+def _connector_changes(spark, d):
+    """A connector followed by a stream over three batches of its feed, with a restart before
+    the later two; each batch is stored once, and the last change of a path decides."""
+    feed, store, seen = (scratch_path(spark, name) for name in ("feed", "changes", "checkpoint"))
+    rows = change_rows(spark, d)
+    newest = rows.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * 3 / (newest + 1))
+    connector.register_changes(spark, "batch_folders", connector.BatchFolders)
+
+    def keep(batch, batch_id):
+        history.append_batch(batch, store, batch_id)
+        return 0
+
+    for run in ((0,), (1, 2)):
+        for n in run:
+            rows.where(part == n).write.parquet(f"{feed}/{n:06d}")
+        followed = connector.follow_connector(spark, "batch_folders", root=feed)
+        streams.delta_sync(followed, keep, seen).awaitTermination()
+    stored = history.read_history(spark, store, CHANGES).select("seq", "op", "path", "version")
+    nothing = stored.select("path", "version").limit(0)
+    return upkeep.apply_changes(nothing, stored, ["path"])
+
+
+@queries.add("delta_sync", DELTA)
+def _delta_sync(spark, d):
+    """Events as a change feed read by a stream; every batch is folded into the state
+    of the batch before it."""
+    feed, state = scratch_path(spark, "feed"), scratch_path(spark, "state")
+    change_rows(spark, d).write.parquet(feed)
     done: list[str] = []
 
     def apply(batch, batch_id):
@@ -307,6 +337,20 @@ def _delta_sync(spark, d):
     return spark.read.schema("path string, version string").parquet(done[-1])
 
 
+@queries.add(
+    "row_text",
+    """SELECT doc_id, md5(array_to_string(list_concat(list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '[^[:space:]]')),
+  ['k | ' || source, lang || ' | ']), chr(10) || chr(10))) AS text_md5 FROM documents""",
+)
+def _row_text(spark, d):
+    """The lines of a document as paragraphs, with a small table below them."""
+    cells = F.array(
+        F.array(F.lit(" k "), F.col("source")), F.array(F.lit(""), F.lit(" ")), F.array(F.col("lang"), F.lit("")),
+    )
+    rows = c.table(spark, d, "documents")
+    return rows.select("doc_id", F.md5(tx.join_row_text(F.split("text", "\n"), cells)).alias("text_md5"))
+
+
 @queries.add(
     "decoded_text",
     "SELECT doc_id, md5(text) AS text_md5, NOT regexp_matches(text, '[^[:space:]]') AS blank, substr(text, 1, 300) AS head FROM documents",

@@ -521,6 +521,23 @@ def _diff_lines(spark, d):
     return diff.diff_lines(*chat_turns(spark, d))
 
 
+@queries.add(
+    "diff_unreadable",
+    c.with_views(c.ENTRIES) + """, states AS (SELECT doc_id, tenant_id, namespace, path, deleted, status FROM entries),
+pairs AS (SELECT a.tenant_id, a.namespace, a.path AS path_a, b.path AS path_b, a.deleted AS da, a.status AS sa, b.deleted AS db, b.status AS sb
+  FROM states a JOIN states b ON b.doc_id = a.doc_id + 3 AND b.namespace = a.namespace)
+SELECT tenant_id, namespace, path_a, path_b,
+       CASE WHEN da THEN 'not_found' WHEN sa <> 'extracted' THEN 'catalog_only' WHEN db THEN 'not_found' ELSE 'catalog_only' END AS error
+FROM pairs WHERE da OR db OR sa <> 'extracted' OR sb <> 'extracted'""",
+)
+def _diff_unreadable(spark, d):
+    """Each document against the next of its tenant, where that is of the same language."""
+    docs = c.document_paths(spark, d)
+    later = docs.select((F.col("doc_id") - 3).alias("doc_id"), "namespace", F.col("path").alias("path_b"))
+    pairs = docs.withColumnRenamed("path", "path_a").join(later, ["doc_id", "namespace"])
+    return diff.unreadable_pairs(c.entries(spark, d), pairs)
+
+
 @queries.add("diff_unified")
 def _diff(spark, d):
     return diff.diff(*chat_turns(spark, d))

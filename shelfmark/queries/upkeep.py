@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, paths
 from ..operators import upkeep
+from ..session import scratch_path
+from ..sinks import history
 from ..sinks import tables as sink
 from ..sources import files, messages, records
 from . import corpus as c
@@ -295,16 +297,36 @@ def _set_extraction(spark, d):
     )
 
 
-@queries.add(
-    "checkpoints",
-    """SELECT event_type AS tenant_id, CAST(user_id AS VARCHAR) AS connector_id, max_by(CAST(event_id AS VARCHAR), ts) AS cursor FROM events GROUP BY ALL""",
-)
-def _checkpoints(spark, d):
-    puts = c.table(spark, d, "events").select(
+CURSORS = """SELECT event_type AS tenant_id, CAST(user_id AS VARCHAR) AS connector_id, max_by(CAST(event_id AS VARCHAR), ts) AS cursor FROM events GROUP BY ALL"""
+
+
+def cursor_puts(spark, d):
+    return c.table(spark, d, "events").select(
         F.col("event_type").alias("tenant_id"), F.col("user_id").cast("string").alias("connector_id"),
         F.col("event_id").cast("string").alias("cursor"), F.col("ts").alias("updated_at"),
     )
-    return sink.get_checkpoint(puts).drop("updated_at")
+
+
+@queries.add("checkpoints", CURSORS)
+def _checkpoints(spark, d):
+    return sink.get_checkpoint(cursor_puts(spark, d)).drop("updated_at")
+
+
+@queries.add("checkpoints_stored", CURSORS)
+def _checkpoints_stored(spark, d):
+    """Cursors stored in two batches, the first of them twice, and read back."""
+    puts, path = cursor_puts(spark, d), scratch_path(spark, "cursors")
+    early = F.pmod(F.xxhash64("cursor"), F.lit(2)) == 0
+    for batch_id, rows in ((0, puts.where(early)), (1, puts.where(~early)), (0, puts.where(early))):
+        sink.put_checkpoint(rows, path, batch_id)
+    return sink.get_checkpoint(history.read_history(spark, path, puts.schema)).drop("updated_at")
+
+
+@queries.add("hard_delete", c.with_views(c.ENTRIES) + " SELECT tenant_id, namespace, path FROM entries WHERE NOT deleted")
+def _hard_delete(spark, d):
+    entries = c.entries(spark, d)
+    dead = entries.where(F.col("deleted_at").isNotNull())
+    return sink.hard_delete(entries, dead).select("tenant_id", "namespace", "path")
 
 
 @queries.add(
@@ -375,6 +397,50 @@ def _folders(spark, d):
     return records.scan_folder_table(folder_listing(spark, d)).drop("size")
 
 
+@queries.add(
+    "folder_closure",
+    """WITH RECURSIVE f AS (
+  SELECT 'c' || c_custkey AS id, 'n' || c_custkey AS name, CASE WHEN c_custkey % 40 = 0 THEN 'root' ELSE 'c' || (c_custkey - 1) END AS parent FROM customer
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_custkey, 'c' || (c_custkey + 5) FROM customer WHERE c_custkey % 97 = 0),
+walk AS (
+  SELECT id, name || '/' AS prefix, [id] AS trail FROM f WHERE parent = 'root'
+  UNION ALL
+  SELECT f.id, w.prefix || f.name || '/', list_append(w.trail, f.id) FROM f JOIN walk w ON f.parent = w.id WHERE NOT list_contains(w.trail, f.id))
+SELECT id, prefix FROM walk UNION ALL SELECT 'root', ''""",
+)
+def _closure(spark, d):
+    """Chains of forty folders; some folders have a second parent, which closes a loop or adds a way."""
+    key = F.col("c_custkey")
+    named = lambda number: F.concat(F.lit("c"), number.cast("string"))
+    folders = c.table(spark, d, "customer").select(
+        named(key).alias("id"),
+        F.concat(F.lit("n"), key.cast("string")).alias("name"),
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(F.pmod(key, F.lit(40)) == 0, "root").otherwise(named(key - 1)),
+                    F.when(F.pmod(key, F.lit(97)) == 0, named(key + 5)),
+                )
+            )
+        ).alias("parent_id"),
+        F.lit(records.FOLDER_TYPE).alias("mime_type"),
+    )
+    return records.folder_paths(folders, "root")
+
+
+@queries.add(
+    "tree_scan",
+    "SELECT 'source=' || source AS folder, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY ALL",
+)
+def _tree_scan(spark, d):
+    """Documents written as a folder of text files per source, which are then listed."""
+    folder = scratch_path(spark, "tree")
+    docs = c.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("source").text(folder)
+    found = files.scan_tree(spark, folder)
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("size").alias("bytes"))
+
+
 def event_messages(spark, d):
     """Each event as a queue message: one shape, the other, both, an empty body or text
     that is not JSON."""

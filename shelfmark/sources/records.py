@@ -91,32 +91,45 @@ def scan_records(records: DataFrame) -> DataFrame:
 
 
 def folder_paths(listing: DataFrame, root: str) -> DataFrame:
-    """(folder id, path prefix) of every folder below ``root``, level by level.
-
-    Each round joins the folders found last to their children, so a folder is placed
-    once; rounds equal the depth of the tree. The root's prefix is ''.
+    """(folder id, path prefix) of every folder below ``root``, one row per way to reach it.
+    The root's prefix is ''.
+
+    Every folder holds a stretch of the way up from it: its names, its ids, and the folder
+    that comes next. A round joins each stretch to the one that goes on from its upper end, so
+    stretches double, and a tree of depth n takes log2(n) rounds. A way that would pass a
+    folder twice is dropped: folders on a loop, and below one only, are not reached. So are
+    those whose upper end is not listed. A folder with several parents has a row for each way.
     """
-    folders = listing.where(F.col("mime_type") == FOLDER_TYPE).select(
-        "id", "name", "parent_id"
-    )
-    level = folders.where(F.col("parent_id") == root).select(
-        "id", F.concat("name", F.lit("/")).alias("prefix")
+    way = listing.where((F.col("mime_type") == FOLDER_TYPE) & (F.col("id") != root)).select(
+        "id",
+        F.col("parent_id").alias("_up"),
+        F.concat("name", F.lit("/")).alias("prefix"),
+        F.array("id").alias("_trail"),
     )
-    level = cut_lineage(level)
-    placed = [level]
-    while not level.isEmpty():
-        above = level.select(F.col("id").alias("parent_id"), "prefix")
-        level = cut_lineage(
-            folders.join(above, "parent_id").select(
-                "id", F.concat("prefix", "name", F.lit("/")).alias("prefix")
+    way = cut_lineage(way.where(F.col("_up").isNotNull()))
+    arrived = F.col("_up") == root
+    while not way.where(~arrived).isEmpty():
+        onward = way.select(
+            F.col("id").alias("_up"),
+            F.col("_up").alias("_next"),
+            F.col("prefix").alias("_above"),
+            F.col("_trail").alias("_higher"),
+        )
+        longer = (
+            way.where(~arrived)
+            .join(onward, "_up")
+            .where(~F.arrays_overlap("_trail", "_higher"))
+            .select(
+                "id",
+                F.col("_next").alias("_up"),
+                F.concat("_above", "prefix").alias("prefix"),
+                F.concat("_higher", "_trail").alias("_trail"),
             )
         )
-        placed.append(level)
-    out = placed[0]
-    for more in placed[1:-1]:
-        out = out.union(more)
+        way = cut_lineage(way.where(arrived).unionByName(longer))
     spark = listing.sparkSession
-    return out.union(spark.range(1).select(F.lit(root).alias("id"), F.lit("").alias("prefix")))
+    own = spark.range(1).select(F.lit(root).alias("id"), F.lit("").alias("prefix"))
+    return way.select("id", "prefix").union(own)
 
 
 def scan_folder_table(listing: DataFrame, root: str = "root", export_pdf: bool = False) -> DataFrame:

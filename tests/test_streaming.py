@@ -13,7 +13,14 @@ from shelfmark.operators import alarms, ledger
 from shelfmark.plans.ingest import Store
 from shelfmark.schemas import CHANGES, ENTRIES, MESSAGES, OBJECTS
 from shelfmark.sinks import history
-from shelfmark.sources.connector import Item, register_source, scan_connector
+from shelfmark.sources.connector import (
+    BatchFolders,
+    Item,
+    follow_connector,
+    register_changes,
+    register_source,
+    scan_connector,
+)
 from shelfmark.streaming import jobs, state
 
 NOW = datetime(2026, 6, 14, tzinfo=timezone.utc)
@@ -143,6 +150,41 @@ def test_connector_source(spark):
     assert got == [("x/one/0.md", 0, None), ("x/one/1.md", 1, None), ("x/two/0.md", 0, None), ("x/two/1.md", 1, None)]
 
 
+def test_changes_of_a_connector(spark, tmp_path):
+    """A batch is seen once it is complete, once only, and again after it failed."""
+    feed, seen, fail = tmp_path / "feed", [], []
+    register_changes(spark, "feed_folders", BatchFolders)
+
+    def put_batch(n, *paths):
+        rows = [(i, "upsert", p, None, i, None, "v") for i, p in enumerate(paths)]
+        spark.createDataFrame(rows, CHANGES).write.parquet(str(feed / f"{n:03d}"))
+
+    def take(batch, _):
+        if fail:
+            return 1
+        seen.append(sorted(r.path for r in batch.collect()))
+        return 0
+
+    def drain():
+        stream = follow_connector(spark, "feed_folders", root=str(feed))
+        jobs.delta_sync(stream, take, str(tmp_path / "cp")).awaitTermination()
+
+    drain()
+    put_batch(1, "a", "b")
+    put_batch(2, "c")
+    (feed / "002" / "_SUCCESS").rename(tmp_path / "mark")
+    drain()
+    drain()
+    (tmp_path / "mark").rename(feed / "002" / "_SUCCESS")
+    put_batch(3, "d")
+    fail.append(True)
+    with pytest.raises(Exception, match="cursor stays"):
+        drain()
+    fail.clear()
+    drain()
+    assert [s for s in seen if s] == [["a", "b"], ["c", "d"]]
+
+
 def at(minutes):
     return (NOW + timedelta(minutes=minutes)).isoformat()
 

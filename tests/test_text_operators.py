@@ -307,6 +307,16 @@ def test_diff(spark, make_corpus):
     assert changed == [("line TWO changed", 0, 1), ("line two", 1, 0)]
 
 
+def test_unreadable_pairs(spark, make_corpus):
+    entries, _ = make_corpus({"a.md": ["x"], "b.md": ["x"], "leave.pdf": None})
+    pairs = [("a.md", "b.md"), ("a.md", "leave.pdf"), ("nowhere", "leave.pdf"), ("leave.pdf", "nowhere"), ("a.md", "nowhere")]
+    asked = ask(spark, *pairs, *pairs, schema="path_a string, path_b string")
+    assert values(diff.unreadable_pairs(entries, asked), "path_a", "path_b", "error") == [
+        ("a.md", "leave.pdf", "catalog_only"), ("a.md", "nowhere", "not_found"),
+        ("leave.pdf", "nowhere", "catalog_only"), ("nowhere", "leave.pdf", "not_found"),
+    ]
+
+
 def test_diff_lines_of_all_pages(spark, make_corpus):
     same = [f"same {i}" for i in range(25)]
     texts = {

@@ -247,6 +247,25 @@ def test_records(spark):
     assert got[3].size == 2
 
 
+def test_folders_on_loops_and_under_two_parents(spark):
+    """Against a walk by levels that never passes a folder twice."""
+    rng = random.Random(11)
+    for _ in range(6):
+        edges = [(str(i), rng.choice(["root", *map(str, range(12)), "lost"])) for i in range(9)]
+        edges += [(str(rng.randrange(9)), str(rng.randrange(9))) for _ in range(3)]
+        edges += [(f"d{i}", f"d{i - 1}" if i else "root") for i in range(21)] + [("n", None), ("root", "3")]
+        rows = [(i, f"<{i}>", up, records.FOLDER_TYPE) for i, up in edges]
+        listing = spark.createDataFrame(rows, "id string, name string, parent_id string, mime_type string")
+        want, level = [("root", "")], [("root", "", ("root",))]
+        while level:
+            level = [
+                (i, f"{prefix}<{i}>/", (*trail, i))
+                for up, prefix, trail in level for i, above in edges if above == up and i not in trail
+            ]
+            want += [(i, prefix) for i, prefix, _ in level]
+        assert values(records.folder_paths(listing, "root"), "id", "prefix") == sorted(want)
+
+
 def test_folder_table(spark):
     folder, doc = records.FOLDER_TYPE, "application/vnd.google-apps.document"
     listing = spark.createDataFrame(
