@@ -192,7 +192,7 @@ class Encoder:
 
 
 class Kept:
-    """Ids of words, kept for those seen and emptied when they are many."""
+    """Ids of words, kept for those seen; when they are many, only for those just met."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
@@ -201,10 +201,12 @@ class Kept:
 
     @staticmethod
     def _known(kept: dict, lists: list[list[str]], encode) -> None:
-        fresh = set().union(*lists).difference(kept)
+        met = set().union(*lists)
+        fresh = met.difference(kept)
         if kept and len(kept) + len(fresh) > KEPT_WORDS:
+            still = {w: kept[w] for w in met.difference(fresh)}
             kept.clear()
-            fresh = set().union(*lists)
+            kept.update(still)
         listed = list(fresh)
         kept.update(zip(listed, encode(listed)))
 
