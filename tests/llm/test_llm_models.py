@@ -493,3 +493,17 @@ def test_pipeline_odd_rows(spark, make_docs, tmp_path):
         out = corpus_pipeline.run(spark, folder).collect()
         assert bool(out) == bool(some)
     assert minhash.REGISTERS
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_kept_words_that_overflow(library, monkeypatch, split):
+    """Few words are kept: those at hand stay, the others are encoded again, with the same ids."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 12)
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        kept = bpe.Kept(bpe.Encoder(f.read(), split=split))
+    lines = ["the same words again", "other words, 3 of them", "Ünïcode naïve 你好 words", "one<|endoftext|>two", "", "x " * 30]
+    for n in range(12):
+        texts = [f"{line} w{n} v{n * 7}" for line in lines[n % 3 :]] + lines
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert kept.texts(texts) == want
+        assert len(kept.words) <= 12 + len({w for t in texts for w in t.split()}) * 3
