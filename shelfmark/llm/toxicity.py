@@ -17,6 +17,7 @@ all texts score 0; other columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -326,10 +327,12 @@ def _slots_in_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate([w for w, _, _ in parts]), np.concatenate([f.astype(np.int32) for _, f, _ in parts]), first
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, passes: int = 3, seed: int = 3):
-    """(odds, network) fitted on labelled texts, which are taken out of their list; None unless both labels occur."""
+def train(texts: Sequence[str], labels: Sequence[int], rounds: int = 3, passes: int = 3, seed: int = 3):
+    """(odds, network) fitted on labelled texts; a list of texts is emptied. None unless both labels occur."""
     numbers: dict[str, int] = {}
     docs, y = [], []
+    if not isinstance(texts, list):  # another sequence stays as it is
+        texts = list(texts)
     # Texts and words go as soon as they are numbers: the driver holds the sample once.
     texts.reverse()
     for label in labels:
