@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import batches, whole_text
 
 KEPT_WORDS = 150_000
+#: Words that a Python worker keeps from task to task, none of more characters than this.
+WORKER_WORDS, WORKER_CHARS = 500_000, 64
 BATCH_BYTES = 8 << 20
 
 
@@ -194,16 +196,15 @@ class Encoder:
 class Kept:
     """Ids of words, kept for those seen; when they are many, only for those just met."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, limit: int | None = None):
+        self.encoder, self.limit = encoder, KEPT_WORDS if limit is None else limit
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
-    @staticmethod
-    def _known(kept: dict, lists: list[list[str]], encode) -> None:
+    def _known(self, kept: dict, lists: list[list[str]], encode) -> None:
         met = set().union(*lists)
         fresh = met.difference(kept)
-        if kept and len(kept) + len(fresh) > KEPT_WORDS:
+        if kept and len(kept) + len(fresh) > self.limit:
             still = {w: kept[w] for w in met.difference(fresh)}
             kept.clear()
             kept.update(still)
@@ -223,6 +224,27 @@ class Kept:
         known, others = self.words.__getitem__, self.stretches.__getitem__
         return [b"".join(map(known if p else others, c)) for c, p in zip(cut, plain)]
 
+    def rest(self) -> None:
+        """Between tasks: fragments and long words go, and the number of words kept is within the limit again."""
+        self.encoder.fragments.clear()
+        for kept in (self.words, self.stretches):
+            if len(kept) > self.limit:
+                kept.clear()
+            for word in [w for w in kept if len(w) > WORKER_CHARS]:
+                del kept[word]
+
+
+#: The tokenizer file that this Python worker encoded with last, and its words.
+_worker: list[tuple[str, Kept]] = []
+
+
+def kept_by_worker(text: str) -> Kept:
+    """Ids of whole words that outlive a task: the next one in this worker need not merge them again."""
+    if not _worker or _worker[0][0] != text:
+        # Whole words go to the library's merges.
+        _worker[:] = [(text, Kept(Encoder(text, split=False), WORKER_WORDS))]
+    return _worker[0][1]
+
 
 def in_stretches(it, names: tuple[str, str], limit: int = 4 << 20):
     """(ids, texts) of Arrow batches, a few megabytes of text at a time."""

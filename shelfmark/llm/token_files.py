@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .bpe import Encoder, Kept, in_parts, in_stretches
+from .bpe import in_parts, in_stretches, kept_by_worker
 from .common import batches, whole_text
 
 # Fixed values of the seekable format.
@@ -132,7 +132,7 @@ def write(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        kept = Kept(Encoder(tokenizer.value, split=False))  # whole words go to the library's merges
+        kept = kept_by_worker(tokenizer.value)
         out, n_docs, n_ids = None, 0, 0
         for ids, texts in in_stretches(it, ("doc_id", "text")):
             if out is None:
@@ -145,6 +145,7 @@ def write(
                 out.add(doc, coded)
                 n_docs += 1
                 n_ids += len(coded) // 4
+        kept.rest()
         if out is not None:
             out.close()
             yield from in_parts([(part, name, n_docs, n_ids)], schema)

@@ -507,3 +507,26 @@ def test_kept_words_that_overflow(library, monkeypatch, split):
         want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
         assert kept.texts(texts) == want
         assert len(kept.words) <= 12 + len({w for t in texts for w in t.split()}) * 3
+
+
+def test_words_outlive_a_task(library, monkeypatch):
+    """What one task has encoded, the next one of the worker does not merge again; long words are not held."""
+    monkeypatch.setattr(bpe, "_worker", [])
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        text = f.read()
+    long = "ab" * bpe.WORKER_CHARS
+    texts = ["some words, kept", f"other words {long}", "naïve 你好 words", f"你好{long}"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    kept = bpe.kept_by_worker(text)
+    assert kept.texts(texts) == want
+    kept.rest()
+    assert max(map(len, [*kept.words, *kept.stretches])) <= bpe.WORKER_CHARS and not kept.encoder.fragments
+    merged = []
+    monkeypatch.setattr(kept.encoder, "last", lambda words, last=kept.encoder.last: merged.extend(words) or last(words))
+    again = bpe.kept_by_worker(text)
+    assert again is kept and again.texts(texts[:1]) == want[:1] and not merged
+    assert again.texts(texts) == want and merged
+    again.limit = 2
+    again.rest()
+    assert not again.words and again.texts(texts) == want
+    assert bpe.kept_by_worker(text.replace("<|endoftext|>", "<|end|>")) is not kept
