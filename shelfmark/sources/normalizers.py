@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
 from ..operators.extraction import CLAIMS, accepts
@@ -69,6 +70,11 @@ def _native(content: bytes, content_type: str, path: str) -> Normalized:
 
 NATIVE = Normalizer("text_native", _native)
 
+#: A task answers with about this much text at a time; a document or page counts as this much besides its text.
+ANSWER_BYTES, ROW_BYTES = 4 << 20, 256
+#: What a document's content and claiming rungs are called on their way to Python.
+BODY, CLAIMED = "_body", "_claimed"
+
 RESULT = [
     T.StructField("extractor", T.StringType()),
     T.StructField("error", T.StringType()),
@@ -107,18 +113,22 @@ class _Walk:
             errors.append(f"{rung.name}:below_gate")
         return None, ";".join(errors) or None, None, None, None
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents are taken out of a batch one by one, and answered a few megabytes at a time."""
+        kinds = [to_arrow_type(f.dataType) for f in RESULT]
+        names = [*self.keep, *(f.name for f in RESULT)]
         for batch in batches:
-            found = [
-                self.one(content, kind, path, list(claimed))
-                for content, kind, path, claimed in zip(
-                    batch["content"], batch["content_type"], batch["path"], batch["claimed"]
-                )
-            ]
-            out = batch[self.keep].copy()
-            for at, name in enumerate(f.name for f in RESULT):
-                out[name] = pd.Series([f[at] for f in found], index=out.index, dtype="object")
-            yield out
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            asked = [column[n] for n in (BODY, "content_type", "path", CLAIMED)]
+            found, start, size = [], 0, 0
+            for n in range(batch.num_rows):
+                found.append(self.one(*(c[n].as_py() for c in asked)))
+                size += ROW_BYTES + sum(ROW_BYTES + len(p["text"] or "") for p in found[-1][2] or ())
+                if size >= ANSWER_BYTES or n + 1 == batch.num_rows:
+                    held = [column[k].slice(start, len(found)) for k in self.keep]
+                    made = [pa.array([f[at] for f in found], kind) for at, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*held, *made], names=names)
+                    found, start, size = [], n + 1, 0
 
 
 def extract(
@@ -161,5 +171,8 @@ def extract(
         ).cast("array<string>"),
         lambda n: n.isNotNull(),
     )
-    walked = rest.withColumn("claimed", claimed).mapInPandas(_Walk(rungs, gate, keep), schema)
+    # What no rung claims is answered without its content.
+    sent = rest.withColumn(CLAIMED, claimed).withColumn(BODY, F.when(F.size(CLAIMED) > 0, F.col("content")))
+    asked = dict.fromkeys([*keep, "content_type", "path", CLAIMED, BODY])
+    walked = sent.select(*asked).mapInArrow(_Walk(rungs, gate, keep), schema)
     return walked if settled is None else settled.unionByName(walked)

@@ -3,6 +3,7 @@
 import hashlib
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from conftest import entry_row, values
 from pyspark.sql import functions as F
@@ -283,3 +284,36 @@ def test_history_of_ingest_is_idempotent(spark, tmp_path):
     for _ in range(2):
         ingest.save(ingest.ingest_documents(documents(spark, FILES), nothing(spark), NOW), store, 1, str(tmp_path / "q"))
     assert history.read_history(spark, store.entries, ENTRIES).count() == len(FILES)
+
+
+def test_parsed_pages_leave_a_task_in_parts():
+    """A batch of many documents is answered a few megabytes at a time, and kept columns keep their types."""
+    from shelfmark.sources import normalizers as nz
+
+    def wide(content, content_type, path):
+        return Normalized([(content.decode() * 50, f"p:{n}") for n in range(4)])
+
+    many = 400
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "size": pa.array([None if n % 2 else n for n in range(many)], pa.int64()),
+            "content_type": [None] * many,
+            "path": [f"{n}.pdf" for n in range(many)],
+            nz.CLAIMED: [["pdf"] if n % 4 else [] for n in range(many)],
+            nz.BODY: [b"x" * 1000 if n % 4 else None for n in range(many)],
+        }
+    )
+    made = list(nz._Walk([Normalizer("pdf", wide)], nz.Gate(), ["path", "size"])(iter([batch])))
+    assert len(made) > 10 and max(b.nbytes for b in made) < 2 * nz.ANSWER_BYTES
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["path"], r["size"]) for r in rows] == [(f"{n}.pdf", None if n % 2 else n) for n in range(many)]
+    for n, r in enumerate(rows):
+        assert r["extractor"] == ("pdf" if n % 4 else None) and r["error"] is None
+        assert [len(p["text"]) for p in r["pages"] or []] == [50_000] * (4 if n % 4 else 0)
+
+
+def test_content_may_be_kept_and_is_sent_for_claimed_documents_only(spark):
+    docs = ingest.describe(documents(spark, FILES))
+    found = {r.path: r for r in extract(docs, [FLAKY], keep=["path", "content"]).collect()}
+    assert {p: bytes(r.content) for p, r in found.items()} == FILES
+    assert found["x.bin"].extractor is None and found["x.bin"].error is None
