@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import limits
 from ..functions import text as tx
+from ..session import cut_lineage
 from .blocks import with_rank
 from .bounds import top_per_group
 from .catalog import PK
@@ -95,7 +96,9 @@ def tables(
     found = page_tables(seen, most, most_rows)
     reading, group, cut = ["page", "line"], Window.partitionBy(*DOC), F.lit(False)
     if most is None:
-        kept = with_rank(found, DOC, reading, "table_no")
+        # Tables are parsed and written once; only their places are numbered and meet the catalog.
+        found = cut_lineage(found.withColumn("_id", F.monotonically_increasing_id()))
+        kept = with_rank(found.select("_id", *DOC, *reading, "row_count"), DOC, reading, "table_no")
     else:
         if last_page is None:
             kept = top_per_group(found, DOC, reading, most, rank="table_no")
@@ -107,18 +110,17 @@ def tables(
     if most_rows is not None:
         cut = cut | (F.max("row_count").over(group) > most_rows)
     beyond = F.lit(False) if last_page is None else F.col("page_count") > last_page
-    return (
-        kept.withColumn("_cut", cut)
-        .join(readable_documents(entries), DOC)
-        .select(
-            *PK,
-            "table_no",
-            "page",
-            "line",
-            "header",
-            "rows",
-            (F.col("_cut") | beyond).alias("truncated"),
-        )
+    shown = kept.withColumn("_cut", cut).join(readable_documents(entries), DOC)
+    if most is None:
+        shown = shown.join(found.select("_id", "header", "rows"), "_id")
+    return shown.select(
+        *PK,
+        "table_no",
+        "page",
+        "line",
+        "header",
+        "rows",
+        (F.col("_cut") | beyond).alias("truncated"),
     )
 
 

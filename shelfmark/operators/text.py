@@ -135,7 +135,8 @@ def outline(
     heads = page_headings(seen, most, title_chars)
     reading = ["page", "line"]
     if most is None:
-        ranked = with_rank(heads, DOC, reading, "ordinal").withColumn("_full", F.lit(False))
+        # Written first: a range partitioning looks at its input twice, which would read all text again.
+        ranked = with_rank(cut_lineage(heads), DOC, reading, "ordinal").withColumn("_full", F.lit(False))
     else:
         if last_page is None:
             ranked = top_per_group(heads, DOC, reading, most, rank="ordinal")

@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from shelfmark import limits
 from shelfmark.operators import diff, grep, tables, text
@@ -343,3 +344,27 @@ def test_diff_bounds(spark, make_corpus):
     got = {r.path_a: r for r in diff.diff(*corpus, asked).collect()}
     assert len(got["a.md"].diff.split("\n")) == limits.DIFF_LINES and got["a.md"].truncated
     assert got["p.md"].diff == "" and got["p.md"].pages_truncated
+
+
+def test_whole_answers_look_at_each_page_once(spark, make_corpus):
+    """Numbering all tables or headings partitions them by range, which must not parse the pages again."""
+    table = "| h{0} | v |\n| --- | --- |\n| {0} | x |"
+    texts = {f"{d}.md": [f"# {d} {p}\n\n" + table.format(p) + "\n\n" + table.format(-p) for p in range(1, 9)] for d in "abc"}
+    entries, pages = make_corpus({**texts, "gone.md": None})
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    watched = pages.withColumn("text", F.udf(look, "string").asNondeterministic()("text"))
+    found = tables.tables(entries, watched, max_pages=None, max_tables=None, max_rows=None).collect()
+    assert seen.value == pages.count()
+    assert sorted((r.path, r.table_no, r.page, r.header[0], r.rows) for r in found) == [
+        (f"{d}.md", 2 * p - 1 + n, p, f"h{v}", [[str(v), "x"]])
+        for d in "abc" for p in range(1, 9) for n, v in enumerate((p, -p))
+    ]
+    seen.value = 0
+    heads = text.outline(entries, watched, max_headings=None, max_pages=None).collect()
+    assert seen.value == pages.count()
+    assert sorted((r.path, r.ordinal, r.title) for r in heads) == [(f"{d}.md", p, f"{d} {p}") for d in "abc" for p in range(1, 9)]
