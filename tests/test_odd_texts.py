@@ -31,7 +31,7 @@ def odd_dir(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["text_checksum", "quality_report", "quality_gate", "history_pages"])
+@pytest.mark.parametrize("name", ["text_checksum", "quality_report", "quality_gate", "history_pages", "delete_documents"])
 def test_query_on_odd_texts(spark, odd_dir, name):
     ok, note = check.compare(spark, check.connect(odd_dir), odd_dir, name)
     assert ok, note
