@@ -45,12 +45,15 @@ def explode_once(
     return out.where(F.col(value).isNotNull())
 
 
-def split_lines(text: Column) -> Column:
-    """Lines as an array; a final line end does not open an empty last line."""
+def split_lines(text: Column, ended: bool = True) -> Column:
+    """Lines as an array. A final line end does not open an empty last line, unless lines
+    are not ``ended``: then line ends part them, and an empty text is one empty line."""
     # Plain newlines take the single-character split, which needs no regex; byte
     # searches for the rare ends cost far less than a character class would.
     rare = reduce(or_, (F.contains(text, F.lit(end)) for end in RARE_LINE_ENDS))
     raw = F.when(rare, F.split(text, LINE_END)).otherwise(F.split(text, "\n"))
+    if not ended:
+        return raw
     return let(
         raw,
         lambda a: F.when(

@@ -21,10 +21,11 @@ from .catalog import PK, extracted_only, live
 DOC = ["tenant_id", "namespace", "entry_id"]
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    """Pages as numbered lines, 1-based within the page."""
+def lines(pages: DataFrame, ended: bool = True) -> DataFrame:
+    """Pages as numbered lines, 1-based within the page. Where a text was cut into pages between
+    two lines, no line end closes a page: with ``ended=False`` its last line counts also if empty."""
     found = tx.explode_once(
-        pages, [*DOC, "page"], tx.split_lines(F.col("text")), "line_text", position="_at"
+        pages, [*DOC, "page"], tx.split_lines(F.col("text"), ended), "line_text", position="_at"
     )
     return found.select(*DOC, "page", (F.col("_at") + 1).alias("line"), "line_text")
 

@@ -4,6 +4,8 @@ import check
 import duckdb
 import pytest
 
+from shelfmark.operators import text
+
 SMALL = "/root/testdata/sf0.001"
 LONG = "\n".join(f"line {n} of a text that goes on" for n in range(23))
 TEXTS = [
@@ -31,7 +33,20 @@ def odd_dir(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["text_checksum", "quality_report", "quality_gate", "history_pages", "delete_documents"])
+@pytest.mark.parametrize("name", ["text_checksum", "quality_report", "quality_gate", "history_pages", "delete_documents", "lines", "read_all"])
 def test_query_on_odd_texts(spark, odd_dir, name):
     ok, note = check.compare(spark, check.connect(odd_dir), odd_dir, name)
     assert ok, note
+
+
+def test_lines_of_cut_pages(spark, make_pages):
+    """Pages that were cut between two lines keep a last line that is empty; others follow Python's rule."""
+    pages = make_pages({"a": ["", "x\n", "x\n\ny", "\n"]})
+    kept = text.lines(pages, ended=False).orderBy("page", "line").collect()
+    assert [(r.page, r.line, r.line_text) for r in kept] == [
+        (1, 1, ""), (2, 1, "x"), (2, 2, ""), (3, 1, "x"), (3, 2, ""), (3, 3, "y"), (4, 1, ""), (4, 2, ""),
+    ]
+    ended = text.lines(pages).orderBy("page", "line").collect()
+    assert [(r.page, r.line, r.line_text) for r in ended] == [
+        (2, 1, "x"), (3, 1, "x"), (3, 2, ""), (3, 3, "y"), (4, 1, ""),
+    ]
